@@ -7,8 +7,10 @@
    each sketch (prefix filter): a pair that shares that many shares one of those. A passage in a third of
    all documents is among the most frequent values of a sketch and so starts no comparison.
 3. First each class meets the pivots of its lists, later all classes of another component than their
-   list's largest one meet the rest of the list. The size ratio, the overlap and the estimate on the union
-   sketch are tested inside the join. A group of n near copies costs about n comparisons, not n squared.
+   list's largest one meet the rest of the list. The join itself tests the size ratio, the parity bitmaps
+   (their distance never exceeds the symmetric difference of the sketches), the overlap and the estimate
+   on the union of two longer sketches (``LONG`` values; sets below that size are compared whole). So few
+   pairs leave the join that are no links, and a group of n near copies does not make n squared rows.
 4. Exact Jaccard on the full sets, made again from the whole texts, verifies every pair that is left.
    Verified pairs feed distributed connected components. No pair of different components that passes the
    sketch tests is left unverified.
@@ -29,10 +31,15 @@ from pyspark.sql import functions as F
 
 from corvella.llm.common import Memo, Scratch, components, id_join
 
-K = 64
+#: Retained values that make the inverted lists.
+K = 48
 #: Share of a sketch that two sets at 0.75 have in common, less six standard deviations.
-SHARE = 0.42
-PIVOTS = 2
+SHARE = 0.375
+#: Retained values that estimate a similarity; 31 bits each.
+LONG = 256
+#: Bits of the parity bitmap of those values.
+BITS = 1024
+SIGMAS = 6
 _COEF = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -81,26 +88,42 @@ def sketches(docs: DataFrame, size: int = 5, k: int = K) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, size: int = 5) -> DataFrame:
+    """(cls, items, long, odd): the full set, the leading 31 bits of its LONG smallest values, and their parity bitmap."""
+
     def run(batches):
         words = _memo()
         for batch in batches:
             parts = [shingles(t, words, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            ends = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
-            flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["cls", "items"])
-
-    return docs.mapInArrow(run, "cls long, items array<long>")
-
-
-def _passes(a: str, b: str, k: int, percent: int) -> "F.Column":
-    """The size ratio, the overlap of sketches, and the estimate on the union sketch; all must allow the similarity."""
-    share = SHARE
+            odds = [np.packbits((np.bincount((p[:LONG] % BITS).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64) for p in parts]
+            columns = []
+            for arrays, kind in ((parts, np.int64), ([(p[:LONG] >> 32).astype(np.int32) for p in parts], np.int32), (odds, np.int64)):
+                ends = np.r_[0, np.cumsum([len(p) for p in arrays])].astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, kind))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["cls", "items", "long", "odd"])
+
+    return docs.mapInArrow(run, "cls long, items array<long>, long array<int>, odd array<long>")
+
+
+def _fits(a: str, b: str, percent: int) -> tuple[F.Column, F.Column]:
+    """(cheap, full) tests that every pair at the similarity passes; a and b are prefixes of n, long and odd.
+
+    Of two sets with sizes n and m at similarity J, i = (n + m) J / (1 + J) items are common. Sketches that
+    hold whole sets must have that many in common, others a share i / max(n, m) of LONG less SIGMAS
+    standard deviations.
+    """
+    j = percent / 100
+    need = f"({j / (1 + j)!r} * ({a}.n + {b}.n))"
+    whole = f"({a}.n <= {LONG} and {b}.n <= {LONG})"
+    share = f"least(1d, {need} / greatest({a}.n, {b}.n))"
+    least = f"(case when {whole} then {need} - 0.001 else {LONG} * {share} - {SIGMAS} * sqrt({LONG} * {share} * (1 - {share})) - 1 end)"
+    apart = " + ".join(f"bit_count({a}.odd[{i}] ^ {b}.odd[{i}])" for i in range(BITS // 64))
     ratio = F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)")
-    common = f"array_intersect({a}.sketch, {b}.sketch)"
-    enough = F.expr(f"size({common}) >= {share} * least(size({a}.sketch), size({b}.sketch))")
-    union = f"slice(array_sort(array_union({a}.sketch, {b}.sketch)), 1, {k})"
-    estimate = F.expr(f"size(array_intersect({union}, {common})) >= {share} * least({k}, size({union}))")
-    return ratio & enough & estimate
+    near = F.expr(f"({apart}) <= least({a}.n, {LONG}) + least({b}.n, {LONG}) - 2 * {least}")
+    common = F.expr(f"size(array_intersect({a}.long, {b}.long)) >= {least} - 2")
+    union = f"slice(array_sort(array_union({a}.long, {b}.long)), 1, {LONG})"
+    low = max(0.0, j - SIGMAS * (j * (1 - j) / LONG) ** 0.5)
+    estimate = F.expr(f"{whole} or size(array_intersect(array_intersect({a}.long, {b}.long), {union})) >= {low!r} * {LONG}")
+    return ratio & near, common & estimate
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -124,46 +147,46 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, k: int =
     # the rarest s - ceil(SHARE * s) + 1 values; those found nowhere else come first and need no list
     take = F.expr(f"greatest(0, s - cast(ceil({SHARE} * s) as int) + 1 - (s - size(hits)))")
     keyed = own.withColumn("keys", F.slice(F.col("hits.v"), F.lit(1), take)).where("size(keys) > 0").select("cls", "keys")
-    active = scratch.table("active", keyed.join(classes.select("cls", "n", "sketch"), "cls"))
-    lists = active.select("cls", F.explode("keys").alias("v"))
+    keyed = scratch.table("keyed", keyed.join(classes.select("cls", "n"), "cls"))
+    # rows that share a doc_id and differ: any of their sets may stand here; exact sizes are tested below
+    reps = docs.select(F.col("doc_id").cast("long").alias("cls"), F.col("text").cast("string").alias("text"))
+    sets = scratch.table("sets", full_sets(id_join(reps, keyed.select("cls"), "cls"), size))
+    forms = sets.select("cls", "long", "odd")
+    lists = keyed.select("cls", F.explode("keys").alias("v"))
 
-    # each class meets the pivots of its lists
+    # each class meets the pivots of its lists, and is verified against the one most like it
     order = F.struct(F.xxhash64("cls"), F.col("cls"))
     pivots = lists.groupBy("v").agg(F.min(order).alias("p"), F.max(order).alias("q"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pivots = pivots.select("v", F.explode(F.array(F.col("p.cls"), F.col("q.cls"))).alias("pivot")).distinct()
-    star = scratch.table("star", lists.join(pivots, "v").where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct())
-    left, right = active.alias("l"), active.alias("r")
-    close = star.join(left, F.col("a") == F.col("l.cls")).select("a", "b", F.struct("l.n", "l.sketch").alias("x")).join(right, F.col("b") == F.col("r.cls")).select("a", "b", "x", F.struct("r.n", "r.sketch").alias("y")).where(_passes("x", "y", k, percent)).select("a", "b")
-    first = scratch.table("first", close)
-    scratch.drop("star")
-
-    reps = docs.select(F.col("doc_id").cast("long").alias("cls"), F.col("text").cast("string").alias("text"))
-
-    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        # rows that share a doc_id: one of them is enough, as the class's set is checked by its size
-        found = full_sets(id_join(reps, ids, "cls"), size)
-        return scratch.table(name, found)
-
-    links = scratch.table("links", _verified(first, sets_of(first, "sets"), percent).distinct())
-    scratch.drop("sets")
+    pivots = pivots.select("v", F.explode(F.array_distinct(F.array(F.col("p.cls"), F.col("q.cls")))).alias("pivot"))
+    star = lists.join(pivots, "v").where("cls <> pivot").select("cls", "pivot").distinct()
+    side = keyed.select("cls", "n").join(forms, "cls")
+    x = side.select("cls", F.struct("n", "long", "odd").alias("x"))
+    y = side.select(F.col("cls").alias("pivot"), F.struct("n", "long", "odd").alias("y"))
+    cheap, whole = _fits("x", "y", percent)
+    close = star.join(x, "cls").join(y, "pivot").where(cheap & whole)
+    best = close.groupBy("cls").agg(F.max(F.struct(F.size(F.array_intersect("x.long", "y.long")).alias("c"), "pivot")).alias("best"))
+    first = scratch.table("first", best.select(F.least("cls", "best.pivot").alias("a"), F.greatest("cls", "best.pivot").alias("b")).distinct())
+    links = scratch.table("links", _verified(first, sets, percent))
     labels = scratch.table("labels", components(spark, links))
 
     # what the pivots left: members outside their list's largest component meet the rest of the list
-    named = scratch.table("named", active.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "n", "sketch", "keys", F.coalesce("component", "cls").alias("label")))
+    named = keyed.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "n", "keys", F.coalesce("component", "cls").alias("label"))
+    named = scratch.table("named", named)
     member = named.select("cls", "label", F.explode("keys").alias("v"))
     mains = member.groupBy("v", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("v").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("v", F.col("top.label").alias("main"))
     mains = scratch.table("mains", mains)
-    full = named.select("cls", "label", "n", "sketch", "keys", F.explode("keys").alias("v")).join(mains, "v")
-    full = scratch.table("members", full)
+    shapes = named.join(forms, "cls").select("cls", "label", "n", "long", "odd", "keys", F.explode("keys").alias("v"))
+    # less: the keys below this one, to compare a pair only at the first list that they share
+    full = shapes.join(mains, "v").withColumn("less", F.expr("filter(keys, k -> k < v)")).drop("keys")
     x, y = full.where("label <> main").alias("x"), full.alias("y")
-    rest = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))) & (F.expr("array_min(array_intersect(x.keys, y.keys))") == F.col("x.v")) & _passes("x", "y", k, percent))
+    cheap, whole = _fits("x", "y", percent)
+    other = (F.col("x.v") == F.col("y.v")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls")))
+    once = ~F.arrays_overlap("x.less", "y.less")
+    rest = x.join(y, other & cheap & once & whole)
     rest = rest.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     rest = scratch.table("rest", rest)
-    scratch.drop("members", "mains", "named")
-    more = _verified(rest, sets_of(rest, "sets2"), percent)
-    links = scratch.table("all", links.union(more).distinct())
-    scratch.drop("sets2", "rest", "first", "active")
+    links = scratch.table("all", links.union(_verified(rest, sets, percent)).distinct())
+    scratch.drop("sets", "rest", "first", "keyed", "mains", "named")
     labels = scratch.table("found", components(spark, links))
 
     classed = scratch.table("classed", classes.select("h1", "h2", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "cls").alias("component")))
