@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from corvella.llm import bpe, line_dedup, minhash
+from corvella.llm import bpe, chat, embed_join, line_dedup, minhash
 
 QUERIES = {
+    "op1_chat_format": chat.op1,
+    "op2_embedding_near_dedup": embed_join.op2,
     "op3_line_dedup": line_dedup.op3,
     "op7_bpe": bpe.op7,
     "op9_minhash_near_dedup": minhash.op9,
 }
 
 ORACLES = {
+    "op1_chat_format": chat.ORACLE,
+    "op2_embedding_near_dedup": embed_join.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
     "op9_minhash_near_dedup": minhash.ORACLE,
 }
