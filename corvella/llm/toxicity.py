@@ -1,12 +1,12 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Grades are 0 (not toxic), 1 (toxic) and 2 (toxic, with a share of telling words above the median of the
-toxic sample). One weight vector w is shared by both thresholds t1 < t2:
+Grades are 0 (not toxic), 1 (toxic) and 2 (toxic, with more telling words, by log(1 + count), than the
+median of the toxic sample). One weight vector w is shared by both thresholds t1 < t2:
 P(grade >= k) = sigmoid(w.x - t_k), and the expected severity is P(>= 1) + P(>= 2). A document is rejected
 when its expected severity reaches ``REJECT``.
 
 Features are words and word beginnings of 4 and 5 letters (lower case, letters and digits), each with
-log(1 + count). The ``FEATURES`` most telling ones by chi-square are kept.
+log(1 + count). Up to ``FEATURES`` telling ones by chi-square are kept.
 
 Fitting reads a bounded sample: at most ``TOXIC`` toxic and ``CLEAN`` other labelled documents with the smallest
 hashes of doc_id, equal texts once. Scoring reads every whole text, one pass and no shuffle.
@@ -31,8 +31,12 @@ from corvella.llm.common import Memo
 from corvella.llm.wordseq import normal
 
 TOXIC, CLEAN = 1_200, 2_400
-FEATURES = 1_500
-LEAST_DOCS = 5
+FEATURES = 500
+LEAST_DOCS = 4
+#: A feature counts if toxic documents hold it this many times as often, with at least this chi-square.
+TELLING, LEAST_CHI = 6, 12
+#: A toxic document is explained once it holds this many chosen features.
+COVER = 3
 REJECT = 0.5
 
 
@@ -60,7 +64,42 @@ class OrdinalModel:
         return score
 
 
-def fit(texts: list[str], toxic: list[int], steps: int = 300) -> OrdinalModel:
+def _select(bags: list[set[str]], y: np.ndarray) -> list[str]:
+    """Telling features, the most telling first, until COVER of them are in each toxic document that can be explained.
+
+    Toxic documents that hold COVER chosen features no longer count, so chance words, which are many in so
+    long a tail, find no documents left that would make them look telling.
+    """
+    held: dict[str, list[int]] = {}
+    for r in np.flatnonzero(y == 1):
+        for f in bags[r]:
+            held.setdefault(f, []).append(int(r))
+    neg = Counter(f for r in np.flatnonzero(y == 0) for f in bags[r] if f in held)
+    # features of the same documents (a word and its beginning) count once, by the shortest
+    once: dict[tuple, str] = {}
+    for f in sorted(held, key=lambda f: (len(f), f)):
+        if len(held[f]) >= LEAST_DOCS:
+            once.setdefault((neg[f], *held[f]), f)
+    left = {f: len(held[f]) for f in once.values()}
+    p, n, cover, out = int(y.sum()), int((y == 0).sum()), Counter(), []
+
+    def chi(f):
+        a, b = left[f], neg[f]
+        return (p + n) * (a * (n - b) - b * (p - a)) ** 2 / max(1, (a + b) * (p + n - a - b) * p * n) if a * n > TELLING * b * p else 0
+
+    while left and len(out) < FEATURES and chi(f := max(left, key=lambda f: (chi(f), f))) > LEAST_CHI:
+        out.append(f)
+        del left[f]
+        for r in held[f]:
+            cover[r] += 1
+            if cover[r] == COVER:
+                for other in bags[r]:
+                    if other in left:
+                        left[other] -= 1
+    return out
+
+
+def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 1.0) -> OrdinalModel:
     bags = []
     for t in texts:
         n = Counter(w for c in t.lower().split() if (w := normal(c)))
@@ -72,29 +111,19 @@ def fit(texts: list[str], toxic: list[int], steps: int = 300) -> OrdinalModel:
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
         return OrdinalModel({}, np.zeros(0), np.zeros(2))
-    pos, neg = Counter(), Counter()
-    for (bag, _), t in zip(bags, toxic):
-        (pos if t else neg).update(bag.keys())
     p, n = int(y.sum()), int(len(y) - y.sum())
-
-    def chi(f):
-        a, b = pos[f], neg[f]
-        c, d = p - a, n - b
-        return (p + n) * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * p * n)
-
-    known = [f for f in {*pos, *neg} if pos[f] + neg[f] >= LEAST_DOCS]
-    chosen = sorted(known, key=lambda f: (-chi(f), f))[:FEATURES]
+    chosen = _select([set(bag) for bag, _ in bags], y)
     index = {f: i for i, f in enumerate(chosen)}
-    telling = {f for f in chosen if pos[f] * n > 4 * neg[f] * p}
-    density = np.array([sum(c for f, c in bag.items() if f in telling) / max(1, size) for bag, size in bags])
-    grade = np.where(y == 0, 0, np.where(density > np.median(density[y == 1]), 2, 1))
+    strength = np.array([sum(np.log1p(c) for f, c in bag.items() if f in index) for bag, _ in bags])
+    grade = np.where(y == 0, 0, np.where(strength > np.median(strength[y == 1]), 2, 1))
     x = np.zeros((len(bags), len(chosen)))
     for r, (bag, _) in enumerate(bags):
         for f, c in bag.items():
             if (i := index.get(f)) is not None:
                 x[r, i] = np.log1p(c)
     # gradient descent with momentum on the mean log loss; t2 = t1 + exp(g) keeps the order
-    w, t1, g, v, l2 = np.zeros(len(chosen)), 1.0, 0.0, 0, 1e-3
+    # weights stay at or above 0, as only telling features were kept
+    w, t1, g, v, l2 = np.ones(len(chosen)), 1.0, 0.0, 0, 1e-4
     weight = np.where(y == 1, 0.5 / p, 0.5 / n)
     for _ in range(steps):
         s = x @ w
@@ -106,7 +135,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 300) -> OrdinalModel:
         d0, d1 = d0 * weight, d1 * weight
         grad = np.r_[x.T @ (d0 + d1) - l2 * w, -(d0 + d1).sum(), -d1.sum() * np.exp(g)]
         v = 0.9 * v + grad
-        w, t1, g = w + 0.5 * v[:-2], t1 + 0.5 * v[-2], float(np.clip(g + 0.5 * v[-1], -5, 5))
+        w, t1, g = np.maximum(0, w + rate * v[:-2]), t1 + rate * v[-2], float(np.clip(g + rate * v[-1], -5, 5))
     return OrdinalModel(index, w, np.array([t1, t1 + np.exp(g)]))
 
 
