@@ -75,7 +75,7 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     for k, level in enumerate(levels):
         p, j = paths.alias("p"), level.alias("j")
         up = p.join(j, _same("p", "j") & (F.col("p.node_id") == F.col("j.node_id"))).select("p.conv_id", "leaf", "branch_rank", F.col("j.jump").alias("node_id"), (F.col("depth") - 2**k).alias("depth"))
-        paths = paths.union(up)
+        paths = paths.union(up).checkpoint()  # else the plan doubles with each level
     return paths
 
 
