@@ -7,10 +7,10 @@
    each sketch (prefix filter): a pair that shares that many shares one of those. A passage in a third of
    all documents is among the most frequent values of a sketch and so starts no comparison.
 3. First each class meets the pivots of its lists, later all classes of another component than their
-   list's largest one meet the rest of the list. The join itself tests the size ratio, the parity bitmaps
+   list's largest one meet the rest of the list. Pairs are tested where they arise: the size ratio, the parity bitmaps
    (their distance never exceeds the symmetric difference of the sketches), the overlap and the estimate
    on the union of two longer sketches (``LONG`` values; sets below that size are compared whole). So few
-   pairs leave the join that are no links, and a group of n near copies does not make n squared rows.
+   pairs that are no links are written, and a group of n near copies does not make n squared rows.
 4. Exact Jaccard on the full sets, made again from the whole texts, verifies every pair that is left.
    Verified pairs feed distributed connected components. No pair of different components that passes the
    sketch tests is left unverified.
@@ -40,6 +40,9 @@ LONG = 256
 #: Bits of the parity bitmap of those values.
 BITS = 1024
 SIGMAS = 6
+#: Members of a list that are compared in one piece, and pairs that are tested at a time.
+CELL = 2048
+SLICE = 1 << 17
 _COEF = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -126,6 +129,77 @@ def _fits(a: str, b: str, percent: int) -> tuple[F.Column, F.Column]:
     return ratio & near, common & estimate
 
 
+def cell_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels within a list v, at least one outside the list's main label, that pass the
+    tests of size and parity bitmap; each only at the smallest list that both classes are in.
+
+    members: cls, label, n, odd, keys, v, size, main. Lists of over CELL members are dealt into blocks, and each pair
+    of blocks is a cell of its own, so no task gets a whole hot list. Cells come sorted and are worked off as a
+    stream, in slices of pairs.
+    """
+    blocks = F.ceil(F.col("size") / CELL).cast("int")
+    rows = members.select("cls", "label", "n", "odd", "keys", "v", "main", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "label", "n", "main", "odd", "keys")
+    j = percent / 100
+    spare = (1 - j) / (1 + j)
+
+    def pairs_of(columns):
+        v, i, jj, block, cls, label, n, main, odd, keys = columns
+        cuts = np.r_[0, np.flatnonzero((np.diff(v) != 0) | (np.diff(i) != 0) | (np.diff(jj) != 0)) + 1, len(v)]
+        end = np.repeat(cuts[1:], np.diff(cuts))
+        count = end - np.arange(len(v)) - 1
+        total = np.r_[0, np.cumsum(count)]
+        found = []
+        for lo in range(0, int(total[-1]), SLICE):
+            k = np.arange(lo, min(lo + SLICE, int(total[-1])))
+            p = np.searchsorted(total, k, side="right") - 1
+            q = p + 1 + k - total[p]
+            ok = (label[p] != label[q]) & ((label[p] != main[p]) | (label[q] != main[p])) & ((i[p] == jj[p]) | (block[p] != block[q]))
+            ok &= 100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q])
+            p, q = p[ok], q[ok]
+            apart = np.bitwise_count(odd[p] ^ odd[q]).sum(1, dtype=np.int64)
+            share = np.minimum(1.0, (1 - spare) / 2 * (n[p] + n[q]) / np.maximum(n[p], n[q]))
+            sketched = np.minimum(n[p], LONG) + np.minimum(n[q], LONG) - 2 * (LONG * share - SIGMAS * np.sqrt(LONG * share * (1 - share)) - 1)
+            far = np.where((n[p] <= LONG) & (n[q] <= LONG), spare * (n[p] + n[q]) + 0.001, sketched)
+            ok = apart <= far
+            found += [(x, y) for x, y in zip(p[ok].tolist(), q[ok].tolist())]
+        held: dict[int, set] = {}
+
+        def own(r):
+            if r not in held:
+                held[r] = set(keys[r].as_py())
+            return held[r]
+
+        out = [(x, y) for x, y in found if min(own(x) & own(y)) == v[x]]
+        a, b = (cls[[z[w] for z in out]] if out else np.zeros(0, np.int64) for w in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            v, i, jj = (table.column(c).to_numpy() for c in range(3))
+            # the last cell may go on in the next batch
+            change = np.flatnonzero((np.diff(v) != 0) | (np.diff(i) != 0) | (np.diff(jj) != 0))
+            cut = int(change[-1]) + 1 if len(change) else 0
+            if cut:
+                yield pairs_of(_columns(table.slice(0, cut)))
+            held = table.slice(cut)
+        if held is not None and len(held):
+            yield pairs_of(_columns(held))
+
+    dealt = rows.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _columns(table: pa.Table):
+    table = table.combine_chunks()
+    odd = table.column("odd").combine_chunks()
+    odd = odd.flatten() if isinstance(odd, pa.ListArray) else odd.chunk(0).flatten()
+    return [*[table.column(c).to_numpy() for c in range(8)], odd.to_numpy().view(np.uint64).reshape(-1, BITS // 64), table.column("keys")]
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a, b = sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("items_a", "items_b")))
@@ -173,18 +247,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, k: int =
     named = keyed.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "n", "keys", F.coalesce("component", "cls").alias("label"))
     named = scratch.table("named", named)
     member = named.select("cls", "label", F.explode("keys").alias("v"))
-    mains = member.groupBy("v", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("v").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("v", F.col("top.label").alias("main"))
+    mains = member.groupBy("v", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("v").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("size")).where("parts > 1").select("v", "size", F.col("top.label").alias("main"))
     mains = scratch.table("mains", mains)
-    shapes = named.join(forms, "cls").select("cls", "label", "n", "long", "odd", "keys", F.explode("keys").alias("v"))
-    # less: the keys below this one, to compare a pair only at the first list that they share
-    full = shapes.join(mains, "v").withColumn("less", F.expr("filter(keys, k -> k < v)")).drop("keys")
-    x, y = full.where("label <> main").alias("x"), full.alias("y")
-    cheap, whole = _fits("x", "y", percent)
-    other = (F.col("x.v") == F.col("y.v")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls")))
-    once = ~F.arrays_overlap("x.less", "y.less")
-    rest = x.join(y, other & cheap & once & whole)
-    rest = rest.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = scratch.table("rest", rest)
+    shapes = named.join(forms.select("cls", "odd"), "cls").select("cls", "label", "n", "odd", "keys", F.explode("keys").alias("v")).join(mains, "v")
+    rest = cell_pairs(shapes, percent).distinct().join(first, ["a", "b"], "left_anti")
+    x, y = side.select(F.col("cls").alias("a"), F.struct("n", "long", "odd").alias("x")), side.select(F.col("cls").alias("b"), F.struct("n", "long", "odd").alias("y"))
+    rest = scratch.table("rest", rest.join(x, "a").join(y, "b").where(whole).select("a", "b"))
     links = scratch.table("all", links.union(_verified(rest, sets, percent)).distinct())
     scratch.drop("sets", "rest", "first", "keyed", "mains", "named")
     labels = scratch.table("found", components(spark, links))
