@@ -129,9 +129,10 @@ def _fits(a: str, b: str, percent: int) -> tuple[F.Column, F.Column]:
     return ratio & near, common & estimate
 
 
-def cell_pairs(members: DataFrame, percent: int) -> DataFrame:
+def cell_pairs(members: DataFrame, percent: int, best_only: bool = False) -> DataFrame:
     """Pairs (a, b) of different labels within a list v, at least one outside the list's main label, that pass the
-    tests of size and parity bitmap; each only at the smallest list that both classes are in.
+    tests of size and parity bitmap; each only at the smallest list that both classes are in. With ``best_only`` just
+    the closest pair for each two labels of a cell.
 
     members: cls, label, n, odd, keys, v, size, main. Lists of over CELL members are dealt into blocks, and each pair
     of blocks is a cell of its own, so no task gets a whole hot list. Cells come sorted and are worked off as a
@@ -163,7 +164,13 @@ def cell_pairs(members: DataFrame, percent: int) -> DataFrame:
             sketched = np.minimum(n[p], LONG) + np.minimum(n[q], LONG) - 2 * (LONG * share - SIGMAS * np.sqrt(LONG * share * (1 - share)) - 1)
             far = np.where((n[p] <= LONG) & (n[q] <= LONG), spare * (n[p] + n[q]) + 0.001, sketched)
             ok = apart <= far
-            found += [(x, y) for x, y in zip(p[ok].tolist(), q[ok].tolist())]
+            p, q, apart = p[ok], q[ok], apart[ok]
+            if best_only and len(p):
+                low, high = np.minimum(label[p], label[q]), np.maximum(label[p], label[q])
+                order = np.lexsort((apart, high, low, v[p]))
+                new = np.r_[True, (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0) | (np.diff(v[p[order]]) != 0)]
+                p, q = p[order[new]], q[order[new]]
+            found += [*zip(p.tolist(), q.tolist())]
         held: dict[int, set] = {}
 
         def own(r):
@@ -171,7 +178,7 @@ def cell_pairs(members: DataFrame, percent: int) -> DataFrame:
                 held[r] = set(keys[r].as_py())
             return held[r]
 
-        out = [(x, y) for x, y in found if min(own(x) & own(y)) == v[x]]
+        out = found if best_only else [(x, y) for x, y in found if min(own(x) & own(y)) == v[x]]
         a, b = (cls[[z[w] for z in out]] if out else np.zeros(0, np.int64) for w in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -243,19 +250,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, k: int =
     links = scratch.table("links", _verified(first, sets, percent))
     labels = scratch.table("labels", components(spark, links))
 
-    # what the pivots left: members outside their list's largest component meet the rest of the list
-    named = keyed.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "n", "keys", F.coalesce("component", "cls").alias("label"))
-    named = scratch.table("named", named)
-    member = named.select("cls", "label", F.explode("keys").alias("v"))
-    mains = member.groupBy("v", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("v").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("size")).where("parts > 1").select("v", "size", F.col("top.label").alias("main"))
-    mains = scratch.table("mains", mains)
-    shapes = named.join(forms.select("cls", "odd"), "cls").select("cls", "label", "n", "odd", "keys", F.explode("keys").alias("v")).join(mains, "v")
-    rest = cell_pairs(shapes, percent).distinct().join(first, ["a", "b"], "left_anti")
+    # what the pivots left: members outside their list's largest component meet the rest of the list. First one
+    # pair for two components and cell is enough, as it will mostly merge them; then all that still differ
     x, y = side.select(F.col("cls").alias("a"), F.struct("n", "long", "odd").alias("x")), side.select(F.col("cls").alias("b"), F.struct("n", "long", "odd").alias("y"))
-    rest = scratch.table("rest", rest.join(x, "a").join(y, "b").where(whole).select("a", "b"))
-    links = scratch.table("all", links.union(_verified(rest, sets, percent)).distinct())
-    scratch.drop("sets", "rest", "first", "keyed", "mains", "named")
-    labels = scratch.table("found", components(spark, links))
+    for turn, best_only in enumerate((True, False)):
+        named = keyed.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "n", "keys", F.coalesce("component", "cls").alias("label"))
+        member = named.select("cls", "label", F.explode("keys").alias("v"))
+        mains = member.groupBy("v", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("v").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("size")).where("parts > 1").select("v", "size", F.col("top.label").alias("main"))
+        mains = scratch.table(f"mains{turn}", mains)
+        shapes = named.join(forms.select("cls", "odd"), "cls").select("cls", "label", "n", "odd", "keys", F.explode("keys").alias("v")).join(mains, "v")
+        pairs = cell_pairs(shapes, percent, best_only).distinct().join(first, ["a", "b"], "left_anti")
+        pairs = scratch.table(f"pairs{turn}", pairs.join(x, "a").join(y, "b").where(whole).select("a", "b"))
+        links = scratch.table(f"links{turn}", links.union(_verified(pairs, sets, percent)).distinct())
+        labels = scratch.table(f"labels{turn}", components(spark, links))
+        scratch.drop(f"mains{turn}", f"pairs{turn}")
+    scratch.drop("sets", "first", "keyed")
 
     classed = scratch.table("classed", classes.select("h1", "h2", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "cls").alias("component")))
     rows = every.groupBy("doc_id").agg(F.min(F.struct("n", "h1", "h2")).alias("z")).select("doc_id", "z.n", "z.h1", "z.h2")
