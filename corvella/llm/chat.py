@@ -62,10 +62,10 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     while (now := state.where("jump is not null").count()) and now != left:
         left = now
         levels.append(state.where("jump is not null").select("conv_id", "node_id", "jump"))
-        s, o = state.alias("s"), state.alias("o")
-        state = s.join(o, _same("s", "o") & (F.col("s.jump") == F.col("o.node_id")), "left").select(
-            "s.conv_id", "s.node_id", F.col("o.jump").alias("jump"), (F.col("s.total") + F.coalesce("o.total", F.lit(0.0))).alias("total"), (F.col("s.depth") + F.coalesce("o.depth", F.lit(0))).alias("depth")
-        ).checkpoint()
+        # only nodes that have not met their root yet take part
+        s, o = state.where("jump is not null").alias("s"), state.alias("o")
+        moved = s.join(o, _same("s", "o") & (F.col("s.jump") == F.col("o.node_id"))).select("s.conv_id", "s.node_id", "o.jump", (F.col("s.total") + F.col("o.total")).alias("total"), (F.col("s.depth") + F.col("o.depth")).alias("depth"))
+        state = state.where("jump is null").union(moved).checkpoint()
     rooted = state.where("jump is null").select("conv_id", "node_id", "total", "depth")
     parents = edges.where("parent_id is not null").select("conv_id", "parent_id").distinct()
     leaves = rooted.alias("r").join(parents.alias("p"), _same("r", "p") & (F.col("r.node_id") == F.col("p.parent_id")), "left_anti")
