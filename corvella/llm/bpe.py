@@ -114,6 +114,10 @@ class WordBpe:
         self.words = Memo(self._word)
         self.chunks = Memo(self._chunk)
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.chunks.clear()
+
     def _word(self, word: str) -> list[int]:
         symbols = [self.symbols[b] for b in word.encode("utf-8")]
         symbols[-1] += self.suffix
@@ -179,20 +183,24 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
 
     def run(batches):
         bpe = worker_bpe(path)
-        for batch in batches:
-            n, ids_hex, text_hex, all_ids, all_text = [], [], [], [], []
-            column = batch.column(len(keep))
-            for i in range(len(column)):
-                ids, decoded = bpe.encode_bytes(column[i].as_py())
-                n.append(len(ids) // 4)
-                ids_hex.append(hashlib.sha256(ids).hexdigest())
-                text_hex.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                if with_ids:
-                    all_ids.append(np.frombuffer(ids, dtype="<u4").tolist())
-                    all_text.append(decoded)
-            more = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())] if with_ids else []
-            columns = [*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string()), *more]
-            yield pa.RecordBatch.from_arrays(columns, names=out.names)
+        try:
+            for batch in batches:
+                n, ids_hex, text_hex, all_ids, all_text = [], [], [], [], []
+                column = batch.column(len(keep))
+                for i in range(len(column)):
+                    ids, decoded = bpe.encode_bytes(column[i].as_py())
+                    n.append(len(ids) // 4)
+                    ids_hex.append(hashlib.sha256(ids).hexdigest())
+                    text_hex.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                    if with_ids:
+                        all_ids.append(np.frombuffer(ids, dtype="<u4").tolist())
+                        all_text.append(decoded)
+                more = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())] if with_ids else []
+                columns = [*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string()), *more]
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
+        finally:
+            bpe.forget()  # workers live on; what one task memoised must not add to the next stage's memory
+
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, out)
 
