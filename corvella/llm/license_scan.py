@@ -78,11 +78,11 @@ class Index:
                     hits.setdefault(t, []).append((int(j) - p, int(j)))
         found = []
         for t, places in hits.items():
-            template, done = self.ids[t], -1
+            template, done = self.ids[t], 0
             for diagonal, j in sorted(places):
                 if j < done:
                     continue
-                low, high = max(0, diagonal - BAND), diagonal + len(template) + BAND
+                low, high = max(done, diagonal - BAND), diagonal + len(template) + BAND  # behind what was found before
                 _, n, _, _, b, e = align(template, ids[low:high], (diagonal - low - BAND, diagonal - low + BAND))
                 if n >= COVERAGE * len(template):
                     found.append((t, n, low + b, low + e))
