@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from corvella.llm.common import Memo
 from corvella.llm.wordseq import normal
 
-TOXIC, CLEAN = 1_200, 2_400
+TOXIC, CLEAN = 900, 1_800
 FEATURES = 500
 LEAST_DOCS = 4
 #: A feature counts if toxic documents hold it this many times as often, with at least this chi-square.
@@ -64,7 +64,7 @@ class OrdinalModel:
         return score
 
 
-def _select(bags: list[set[str]], y: np.ndarray) -> list[str]:
+def _select(bags: list[Counter], y: np.ndarray) -> list[str]:
     """Telling features, the most telling first, until COVER of them are in each toxic document that can be explained.
 
     Toxic documents that hold COVER chosen features no longer count, so chance words, which are many in so
@@ -100,24 +100,30 @@ def _select(bags: list[set[str]], y: np.ndarray) -> list[str]:
 
 
 def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 1.0) -> OrdinalModel:
+    # the long tail of features goes before any document's are kept, which bounds the driver's memory
+    seen: Counter = Counter()
+    for t in texts:
+        seen.update({f for w in {normal(c) for c in t.lower().split()} for f in features_of(w)})
+    often = {f for f, c in seen.items() if c >= LEAST_DOCS}
+    del seen
     bags = []
     for t in texts:
-        n = Counter(w for c in t.lower().split() if (w := normal(c)))
-        bag = Counter()
-        for w, c in n.items():
+        bag: Counter = Counter()
+        for w, c in Counter(normal(c) for c in t.lower().split()).items():
             for f in features_of(w):
-                bag[f] += c
-        bags.append((bag, sum(n.values())))
+                if f in often:
+                    bag[f] += c
+        bags.append(bag)
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
         return OrdinalModel({}, np.zeros(0), np.zeros(2))
     p, n = int(y.sum()), int(len(y) - y.sum())
-    chosen = _select([set(bag) for bag, _ in bags], y)
+    chosen = _select(bags, y)
     index = {f: i for i, f in enumerate(chosen)}
-    strength = np.array([sum(np.log1p(c) for f, c in bag.items() if f in index) for bag, _ in bags])
+    strength = np.array([sum(np.log1p(c) for f, c in bag.items() if f in index) for bag in bags])
     grade = np.where(y == 0, 0, np.where(strength > np.median(strength[y == 1]), 2, 1))
     x = np.zeros((len(bags), len(chosen)))
-    for r, (bag, _) in enumerate(bags):
+    for r, bag in enumerate(bags):
         for f, c in bag.items():
             if (i := index.get(f)) is not None:
                 x[r, i] = np.log1p(c)
