@@ -9,7 +9,8 @@ Features are words and word beginnings of 4 and 5 letters (lower case, letters a
 log(1 + count). Up to ``FEATURES`` telling ones by chi-square are kept.
 
 Fitting reads a bounded sample: at most ``TOXIC`` toxic and ``CLEAN`` other labelled documents with the smallest
-hashes of doc_id, equal texts once. Scoring reads every whole text, one pass and no shuffle.
+hashes of doc_id, equal texts once. Workers count their features, so the driver holds numbers of features
+that ``LEAST_DOCS`` toxic texts share and no text. Scoring reads every whole text, one pass and no shuffle.
 
 Cases: null or empty text has no features and gets the severity of the thresholds alone; labels that are
 null or name no document are ignored; without both kinds of label every severity is 0 and nothing is
@@ -27,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvella.llm.common import Memo
+from corvella.llm.common import Memo, Scratch
 from corvella.llm.wordseq import normal
 
-TOXIC, CLEAN = 900, 1_800
+TOXIC, CLEAN = 1_200, 2_400
 FEATURES = 500
 LEAST_DOCS = 4
 #: A feature counts if toxic documents hold it this many times as often, with at least this chi-square.
@@ -64,69 +65,59 @@ class OrdinalModel:
         return score
 
 
-def _select(bags: list[Counter], y: np.ndarray) -> list[str]:
+def _select(bags: list[np.ndarray], y: np.ndarray, vocab: list[str]) -> np.ndarray:
     """Telling features, the most telling first, until COVER of them are in each toxic document that can be explained.
 
-    Toxic documents that hold COVER chosen features no longer count, so chance words, which are many in so
-    long a tail, find no documents left that would make them look telling.
+    bags: each document's features as numbers of the sorted ``vocab``. Toxic documents that hold COVER chosen
+    features no longer count, so chance words, which are many in so long a tail, find no documents left that
+    would make them look telling.
     """
-    held: dict[str, list[int]] = {}
-    for r in np.flatnonzero(y == 1):
-        for f in bags[r]:
-            held.setdefault(f, []).append(int(r))
-    neg = Counter(f for r in np.flatnonzero(y == 0) for f in bags[r] if f in held)
+    toxic = np.flatnonzero(y == 1)
+    feature, row = np.concatenate([bags[r] for r in toxic]), np.repeat(toxic, [len(bags[r]) for r in toxic])
+    order = np.argsort(feature, kind="stable")
+    cuts = np.searchsorted(feature[order], np.arange(len(vocab) + 1))
+    held = [row[order[i:j]] for i, j in zip(cuts[:-1], cuts[1:])]
+    b = np.bincount(np.concatenate([bags[r] for r in np.flatnonzero(y == 0)]), minlength=len(vocab)).astype(float)
     # features of the same documents (a word and its beginning) count once, by the shortest
-    once: dict[tuple, str] = {}
-    for f in sorted(held, key=lambda f: (len(f), f)):
+    once: dict[tuple, int] = {}
+    for f in sorted(range(len(vocab)), key=lambda f: (len(vocab[f]), f)):
         if len(held[f]) >= LEAST_DOCS:
-            once.setdefault((neg[f], *held[f]), f)
-    left = {f: len(held[f]) for f in once.values()}
-    p, n, cover, out = int(y.sum()), int((y == 0).sum()), Counter(), []
-
-    def chi(f):
-        a, b = left[f], neg[f]
-        return (p + n) * (a * (n - b) - b * (p - a)) ** 2 / max(1, (a + b) * (p + n - a - b) * p * n) if a * n > TELLING * b * p else 0
-
-    while left and len(out) < FEATURES and chi(f := max(left, key=lambda f: (chi(f), f))) > LEAST_CHI:
+            once.setdefault((b[f], held[f].tobytes()), f)
+    open_ = np.zeros(len(vocab), bool)
+    open_[list(once.values())] = True
+    a = np.array([len(h) for h in held], float)
+    p, n, cover, out = int(y.sum()), int((y == 0).sum()), np.zeros(len(y), int), []
+    while open_.any() and len(out) < FEATURES:
+        chi = (p + n) * (a * (n - b) - b * (p - a)) ** 2 / np.maximum(1, (a + b) * (p + n - a - b) * p * n)
+        chi[~open_ | (a * n <= TELLING * b * p)] = 0
+        f = len(chi) - 1 - int(np.argmax(chi[::-1]))
+        if chi[f] <= LEAST_CHI:
+            break
         out.append(f)
-        del left[f]
+        open_[f] = False
         for r in held[f]:
             cover[r] += 1
             if cover[r] == COVER:
-                for other in bags[r]:
-                    if other in left:
-                        left[other] -= 1
-    return out
-
-
-def fit(texts: list[str], toxic: list[int], steps: int = 400, rate: float = 1.0) -> OrdinalModel:
-    # the long tail of features goes before any document's are kept, which bounds the driver's memory
-    seen: Counter = Counter()
-    for t in texts:
-        seen.update({f for w in {normal(c) for c in t.lower().split()} for f in features_of(w)})
-    often = {f for f, c in seen.items() if c >= LEAST_DOCS}
-    del seen
-    bags = []
-    for t in texts:
-        bag: Counter = Counter()
-        for w, c in Counter(normal(c) for c in t.lower().split()).items():
-            for f in features_of(w):
-                if f in often:
-                    bag[f] += c
-        bags.append(bag)
+                a[bags[r]] -= 1
+    return np.array(out, int)
+
+
+def fit(vocab: list[str], bags: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], steps: int = 400, rate: float = 1.0) -> OrdinalModel:
+    """bags: for each document the numbers of its features in the sorted ``vocab``, each once, and their counts."""
     y = np.array(toxic)
     if not len(y) or y.min() == y.max():
         return OrdinalModel({}, np.zeros(0), np.zeros(2))
     p, n = int(y.sum()), int(len(y) - y.sum())
-    chosen = _select(bags, y)
-    index = {f: i for i, f in enumerate(chosen)}
-    strength = np.array([sum(np.log1p(c) for f, c in bag.items() if f in index) for bag in bags])
-    grade = np.where(y == 0, 0, np.where(strength > np.median(strength[y == 1]), 2, 1))
+    chosen = _select([ids for ids, _ in bags], y, vocab)
+    index = {vocab[f]: i for i, f in enumerate(chosen)}
+    place = np.full(len(vocab), -1)
+    place[chosen] = np.arange(len(chosen))
     x = np.zeros((len(bags), len(chosen)))
-    for r, bag in enumerate(bags):
-        for f, c in bag.items():
-            if (i := index.get(f)) is not None:
-                x[r, i] = np.log1p(c)
+    for r, (ids, counts) in enumerate(bags):
+        at = place[ids]
+        x[r, at[at >= 0]] = np.log1p(counts[at >= 0])
+    strength = x.sum(1).round(9)  # so that rounding does not part equal ones at the median
+    grade = np.where(y == 0, 0, np.where(strength > np.median(strength[y == 1]), 2, 1))
     # gradient descent with momentum on the mean log loss; t2 = t1 + exp(g) keeps the order
     # weights stay at or above 0, as only telling features were kept
     w, t1, g, v, l2 = np.ones(len(chosen)), 1.0, 0.0, 0, 1e-4
@@ -151,12 +142,33 @@ def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
     # at most TOXIC + CLEAN ids, so the broadcast has a fixed bound
     sample = pick(known.where("toxic > 0"), TOXIC).union(pick(known.where("toxic <= 0"), CLEAN))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").where("text is not null")
-    seen = {}
-    for r in texts.select("doc_id", "text", "toxic").collect():
-        if r.text not in seen or r.doc_id < seen[r.text][0]:
-            seen[r.text] = (r.doc_id, r.text, int(r.toxic > 0))
-    rows = sorted(seen.values())
-    return fit([t for _, t, _ in rows], [x for *_, x in rows])
+    # equal texts once, by their smallest doc_id
+    scratch = Scratch(docs.sparkSession)
+    texts = scratch.table("sample", texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.col("toxic") > 0, "doc_id").alias("toxic")))
+
+    def features(batches):
+        of = Memo(lambda c: features_of(normal(c)))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([f for t in batch.column(0).to_pylist() for f in {f for c in {*t.lower().split()} for f in of[c]}], pa.string())], names=["f"])
+
+    # only features that enough toxic texts hold can be chosen, so nothing else comes to the driver
+    often = texts.where("toxic").select("text").mapInArrow(features, "f string").groupBy("f").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEAST_DOCS)
+    vocab = sorted(r.f for r in often.select("f").toLocalIterator())
+    number = {f: i for i, f in enumerate(vocab)}
+
+    def count(batches):
+        of = Memo(lambda c: tuple(i for f in features_of(normal(c)) if (i := number.get(f)) is not None))
+        for batch in batches:
+            ids, counts = [], []
+            for t in batch.column(2).to_pylist():
+                bag = sorted(Counter(i for c in t.lower().split() for i in of[c]).items())
+                ids.append(np.array([i for i, _ in bag], "<i4").tobytes())
+                counts.append(np.array([c for _, c in bag], "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "toxic", "ids", "counts"])
+
+    rows = sorted(texts.select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic boolean, ids binary, counts binary").collect())
+    scratch.drop("sample")
+    return fit(vocab, [(np.frombuffer(r.ids, "<i4"), np.frombuffer(r.counts, "<i4")) for r in rows], [int(r.toxic) for r in rows])
 
 
 def score(docs: DataFrame, model: OrdinalModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
