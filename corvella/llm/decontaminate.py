@@ -1,16 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The test items are the small side. They are taken in blocks of ``BLOCK`` items, so the driver and each worker
 hold one block's vocabulary and n-grams at a time, whatever the number of items. For a block:
 
 1. One pass over the texts counts in how many documents each item n-gram occurs (sums per task, then a
    shuffle of n-gram numbers only).
-2. Each run of ``WINDOW`` successive n-grams of an item gives its rarest one as a seed. Rarity is relative, so an
-   item that a third of all documents hold still has seeds, and any copied run of N + WINDOW - 1 words
-   holds one.
+2. Every n-gram of an item that some document holds is a seed, so any copied run of N words holds one.
 3. A second pass finds seeds in the texts. Near hits of one item with at least ``min_seeds`` different seeds
    (or all it has) make a candidate window, and the alignment's score against that of the item with
-   itself decides.
+   itself decides. A window that shares too few words with the item to reach the score is not aligned.
 
 Words are lower case without punctuation. Cases: null or empty texts match nothing; items of fewer than N
 words are compared by all their words in a row; repeated rows give repeated rows; a null doc_id is kept as
@@ -27,7 +25,6 @@ from pyspark.sql import functions as F
 from corvella.llm.wordseq import Numberer, align, grams, words_of
 
 N = 3
-WINDOW = 4
 BLOCK = 5_000
 
 
@@ -69,18 +66,20 @@ def _counts(docs: DataFrame, it: _Items) -> dict[int, np.ndarray]:
     return out
 
 
-def _seeds(it: _Items, counts: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]]:
-    """For each n: the sorted seeds, and the (item, position) places of each."""
-    places: dict[int, dict[int, list]] = {n: {} for n in it.sizes}
-    for i, ids in enumerate(it.ids):
-        n = min(N, len(ids))
-        g = grams(ids, n, it.base)
-        c = counts[n][np.searchsorted(it.grams[n], g)]
-        for s in range(max(1, len(g) - WINDOW + 1)):
-            k = s + int(np.argmin(c[s : s + WINDOW]))
-            if (i, k) not in places[n].setdefault(int(g[k]), []):
-                places[n][int(g[k])].append((i, k))
-    return {n: (np.array(sorted(p)), [p[k] for k in sorted(p)]) for n, p in places.items()}
+def _seeds(it: _Items, counts: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each n: the sorted seeds, where the places of each begin, and the item and position of each place."""
+    out = {}
+    for n in it.sizes:
+        some = [i for i, ids in enumerate(it.ids) if min(N, len(ids)) == n]
+        per = [grams(it.ids[i], n, it.base) for i in some]
+        g, item = np.concatenate(per), np.repeat(some, [len(x) for x in per])
+        at = np.concatenate([np.arange(len(x)) for x in per])
+        held = counts[n][np.searchsorted(it.grams[n], g)] > 0
+        g, item, at = g[held], item[held], at[held]
+        order = np.argsort(g, kind="stable")
+        keys, first = np.unique(g[order], return_index=True)
+        out[n] = keys, np.r_[first, len(g)], item[order], at[order]
+    return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, min_seeds: int = 2, block: int = BLOCK) -> DataFrame:
@@ -108,29 +107,36 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, min_s
 def _block(docs: DataFrame, it: _Items, min_score: float, min_seeds: int, schema: str) -> DataFrame:
     seeds = _seeds(it, _counts(docs, it))
     vocab, base, words, names = it.vocab, it.base, it.ids, [i for i, _ in it.items]
-    have = [0] * len(words)
-    for _, places in seeds.values():
-        for p in places:
-            for i in {i for i, _ in p}:
-                have[i] += 1
-
-    def best(ids: np.ndarray, hits: list[tuple[int, int, int]], item: np.ndarray, need: int):
-        """hits: sorted (place of a seed, seed's number, its position in the item)."""
-        top, a = None, 0
-        while a < len(hits):
-            b = a + 1
-            while b < len(hits) and hits[b][0] - hits[b - 1][0] <= len(item):
-                b += 1
-            if len({s for _, s, _ in hits[a:b]}) >= need:
-                low = max(0, hits[a][0] - hits[a][2] - len(item) // 2)
-                high = hits[b - 1][0] + len(item) - hits[b - 1][2] + len(item) // 2
+    need = np.zeros(len(words), np.int64)
+    for keys, cuts, item, _ in seeds.values():
+        pairs = np.unique(np.stack([item, np.repeat(np.arange(len(keys)), np.diff(cuts))]), axis=1)
+        need += np.bincount(pairs[0], minlength=len(words))
+    need = np.minimum(need, min_seeds)
+    bags = [np.unique(x, return_counts=True) for x in words]
+
+    def shared(ids: np.ndarray, bag: tuple[np.ndarray, np.ndarray]) -> int:
+        """How many words of an item the text can match, each as often as both hold it."""
+        at = np.minimum(np.searchsorted(bag[0], ids), len(bag[0]) - 1)
+        return int(np.minimum(np.bincount(at[bag[0][at] == ids], minlength=len(bag[0])), bag[1]).sum())
+
+    def best(ids: np.ndarray, place: np.ndarray, seed: np.ndarray, pos: np.ndarray, k: int):
+        """place: the sorted places of hits of item k; seed: their seeds' numbers; pos: their positions in the item."""
+        item, top = words[k], None
+        cuts = np.flatnonzero(np.diff(place) > len(item)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
+            if b - a >= need[k] and len(set(seed[a:b].tolist())) >= need[k]:
+                begin = place[a:b] - pos[a:b]
+                low = max(0, int(begin.min()) - len(item) // 2)
+                high = int(begin.max()) + len(item) + len(item) // 2
                 # a long row of hits is aligned in overlapping pieces, so one alignment stays small
                 for s in range(low, max(low + 1, high - 2 * len(item)), 2 * len(item)) if high - low > 6 * len(item) else (low,):
                     e = min(high, s + 4 * len(item)) if high - low > 6 * len(item) else high
-                    score, n, _, _, j, k = align(item, ids[s:e])
+                    most = 2 * shared(ids[s:e], bags[k])
+                    if most < min_score * 2 * len(item) or top and most <= top[0]:
+                        continue  # no alignment here can decide
+                    score, n, _, _, j, end = align(item, ids[s:e])
                     if top is None or score > top[0]:
-                        top = (score, n, s + j, s + k)
-            a = b
+                        top = (score, n, s + j, s + end)
         return top
 
     def run(batches):
@@ -138,17 +144,30 @@ def _block(docs: DataFrame, it: _Items, min_score: float, min_seeds: int, schema
         for batch in batches:
             out = [[] for _ in range(7)]
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, hits = number(t), {}
-                for n, (keys, places) in seeds.items():
+                ids, hits = number(t), []
+                for n, (keys, cuts, item, pos) in seeds.items():
                     g = grams(ids, n, base)
                     if not len(g) or not len(keys):
                         continue
                     at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-                    for j in np.flatnonzero(keys[at] == g):
-                        for i, p in places[at[j]]:
-                            hits.setdefault(i, []).append((int(j), int(at[j]), p))
-                for i, h in hits.items():
-                    top = best(ids, sorted(h), words[i], min(min_seeds, have[i]))
+                    place = np.flatnonzero(keys[at] == g)
+                    if not len(place):
+                        continue
+                    seed = at[place]
+                    size = cuts[seed + 1] - cuts[seed]
+                    row = np.repeat(cuts[seed] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+                    hits.append((item[row], np.repeat(place, size), np.repeat(seed, size), pos[row]))
+                if not hits:
+                    continue
+                item, place, seed, pos = (np.concatenate(x) for x in zip(*hits))
+                enough = np.bincount(item, minlength=len(words))[item] >= need[item]
+                item, place, seed, pos = item[enough], place[enough], seed[enough], pos[enough]
+                order = np.argsort(item, kind="stable")  # places stay sorted, as an item has grams of one size
+                item, place, seed, pos = item[order], place[order], seed[order], pos[order]
+                cuts = (np.flatnonzero(np.diff(item)) + 1).tolist()
+                for a, b in zip([0, *cuts], [*cuts, len(item)]) if len(item) else ():
+                    i = int(item[a])
+                    top = best(ids, place[a:b], seed[a:b], pos[a:b], i)
                     if top and top[0] >= min_score * 2 * len(words[i]):
                         for column, v in zip(out, (doc, names[i], top[0] / (2 * len(words[i])), top[1], len(words[i]), top[2], top[3])):
                             column.append(v)

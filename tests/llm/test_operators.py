@@ -301,6 +301,19 @@ def test_decontamination(spark):
     assert decontaminate.matches(df, bench.limit(0)).count() == 0 and decontaminate.matches(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_evenly_edited_copies(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    item = [rng.choice(words) for _ in range(40)]
+    filler = lambda: [rng.choice(words) for _ in range(30)]
+    edited = {step: [f"new{k}" if k % step == step - 1 else w for k, w in enumerate(item)] for step in (4, 5, 6)}
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for exact in (0, 3):
+        rows = [(step, filler() + w + filler()) for step, w in edited.items()] + [(100 + i, filler() + item) for i in range(exact)] + [(200, filler())]
+        got = {r.doc_id for r in decontaminate.matches(docs_frame(spark, [(i, " ".join(w)) for i, w in rows]), bench).collect()}
+        assert got == {i for i, _ in rows} - {200}
+
+
 # tokens
 
 def test_bpe_matches_library(spark):
