@@ -2,15 +2,18 @@
 
 A text is cut behind ``.``, ``!`` or ``?`` before white space, and at newlines; each sentence keeps what separates it
 from the next. From every sentence a span starts: ``RUN`` consecutive sentences, or fewer once they hold
-``LONG_WORDS`` words. Spans of under ``LEAST_WORDS`` words are not compared. Spans are hashed (128 bits, white
-space collapsed, A-Z lower-cased) and joined over all documents; the first place of a span is the one with the
-smallest (doc_id, sentence number). Sentences covered by any other place go, and the rest is joined again.
+``LONG_WORDS`` words, or more until they hold ``LEAST_WORDS`` words. ``LETTERS`` code points weigh as much as a word,
+where that is more, so text without spaces has spans too. Where the ``RUN`` sentences before an end are smaller, the
+shortest run up to it that holds ``LEAST_WORDS`` is a span as well; else a passage of short lines could keep its last
+ones. Only runs smaller than that are not compared. Spans are hashed (128 bits, white space collapsed, A-Z lower-cased) and joined over all documents; the first place of a span
+is the one with the smallest (doc_id, sentence number). Sentences covered by any other place go, and the rest is
+joined again.
 
 Scale: spans are counted with partial sums per task, so a passage in a third of all documents sends one row a
 task; only hashes that occur at more than one place are joined back; that join's hot hashes are split by
 adaptive execution, as both sides are shuffled for it. Texts move once, to meet their list of places.
 
-Cases: null text is empty (one empty sentence); texts with too few sentences have no span and stay whole; a
+Cases: null text is empty (one empty sentence); texts with too few sentences or words have no span and stay whole; a
 null doc_id keeps its text and counts for nothing; of rows that share a doc_id equal places count once, so
 equal rows both stay; extra columns are kept only if named in ``keep``; empty tables give an empty table.
 """
@@ -31,8 +34,13 @@ from corvella.llm.common import Scratch
 RUN = 3
 LONG_WORDS = 50
 LEAST_WORDS = 8
+LETTERS = 10
 _CUT = re.compile(rb"(?<=[.!?])[ \t\x0b\x0c\r]+(?=\S)|\n+")
-_C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+#: Odd bases of the two halves of a span's hash and their inverses modulo 2^64, and the factor of the last mixing.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_C = np.array(_BASES, dtype=np.uint64)
+_INVERSE = np.array([pow(b, -1, 1 << 64) for b in _BASES], dtype=np.uint64)
+_MIX = np.uint64(0xA0761D6478BD642F)
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -49,22 +57,31 @@ def spans(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, 2 x int64 hash) of all spans."""
     n = len(parts)
     split = [p.lower().split() for p in parts]
-    words = np.array([len(w) for w in split], np.int64)
     h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(b" ".join(w)) for w in split]), np.uint64).reshape(-1, 2)
-    total, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    acc, open_ = np.zeros((n, 2), np.uint64), np.ones(n, bool)
-    for j in range(RUN):
-        grow = open_.copy()
-        grow[max(0, n - j) :] = False
-        i = np.flatnonzero(grow)
-        total[i] += words[i + j]
-        acc[i] += h[i + j] * _C[j] + np.uint64(j + 1)
-        length[i] += 1
-        open_ &= total < LONG_WORDS
-    ok = ((length == RUN) | (total >= LONG_WORDS)) & (total >= LEAST_WORDS)
-    start = np.flatnonzero(ok)
-    mixed = acc[start] ^ (acc[start] >> np.uint64(31))
-    return start, length[start], (mixed * _C[4]).view(np.int64)
+    text = np.frombuffer(b"".join(parts), np.uint8)
+    # words and code points before each sentence and, last, in all
+    words = np.r_[0, np.cumsum([len(w) for w in split])]
+    letters = np.r_[0, np.cumsum((text > 32) & (text & 0xC0 != 0x80))][np.r_[0, np.cumsum([len(p) for p in parts])]]
+
+    def length(least: int) -> np.ndarray:
+        """Sentences from each one on until they hold so many words or as much in letters; beyond the text if never."""
+        ends = [np.searchsorted(c, c[:-1] + k) for c, k in ((words, least), (letters, least * LETTERS))]
+        return np.minimum(*ends) - np.arange(n)
+
+    size = length(LONG_WORDS)
+    size = np.where(size <= RUN, size, np.maximum(length(LEAST_WORDS), RUN))
+    start = np.flatnonzero(np.arange(n) + size <= n)
+    size = size[start]
+    end = np.arange(RUN + 1, n + 1)
+    begin = np.maximum(*[np.searchsorted(c, c[end] - k, side="right") - 1 for c, k in ((words, LEAST_WORDS), (letters, LEAST_WORDS * LETTERS))])
+    more = (begin >= 0) & (end - begin > RUN) & ~np.isin(begin * (n + 1) + end, start * (n + 1) + start + size)
+    start, size = np.r_[start, begin[more]], np.r_[size, (end - begin)[more]]
+    # sums of hash times a power of the base before each sentence, so any span is a difference of two
+    power = np.cumprod(np.vstack([np.ones((1, 2), np.uint64), np.broadcast_to(_C, (n, 2))]), axis=0)
+    back = np.cumprod(np.vstack([np.ones((1, 2), np.uint64), np.broadcast_to(_INVERSE, (n, 2))]), axis=0)
+    sums = np.vstack([np.zeros((1, 2), np.uint64), np.cumsum(h * power[1:], axis=0)])
+    acc = (sums[start + size] - sums[start]) * back[start]
+    return start, size, ((acc ^ (acc >> np.uint64(31))) * _MIX).view(np.int64)
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
@@ -106,11 +123,11 @@ def dedupe_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
                 counts.append(len(parts))
                 if lists[i].is_valid:
                     start, length, h = spans(parts)
-                    held = {int(s): (int(k), int(x)) for s, k, x in zip(start, length, h[:, 0])}
+                    held = dict(zip(zip(start.tolist(), h[:, 0].tolist()), length.tolist()))
                     cut = np.zeros(len(parts), bool)
                     for pos, h1 in zip(lists[i].values.field(0).to_pylist(), lists[i].values.field(1).to_pylist()):
-                        if held.get(pos, (0, None))[1] == h1:  # else another row with this doc_id
-                            cut[pos : pos + held[pos][0]] = True
+                        if (pos, h1) in held:  # else another row with this doc_id
+                            cut[pos : pos + held[pos, h1]] = True
                     parts = [p for p, c in zip(parts, cut) if not c]
                 dropped.append(counts[-1] - len(parts))
                 texts.append(b"".join(parts))

@@ -220,6 +220,17 @@ def test_spans_brute(spark):
     assert {r.doc_id: r.text for r in span_dedup.dedupe_spans(docs_frame(spark, rows)).collect()} == expected and cut
 
 
+def test_spans_of_short_lines_and_of_text_without_spaces(spark):
+    menu = [f"item{i}" if i % 2 else f"item {i}" for i in range(60)]
+    glyphs = [chr(0x4E00 + i) * 100 for i in range(3)]  # three lines of 100 letters
+    line = "".join(chr(0x5000 + i) for i in range(600))  # one line as long as a long sentence
+    rows = [(i, "\n".join([f"own start {i}", *common, f"own end {i}"])) for i, common in enumerate([menu, menu, glyphs, glyphs, [line], [line]])]
+    rows += [(8, " \n" * 50_000), (9, "a\nb\nc"), (10, "a\nb\nc")]
+    got = {r.doc_id: r.text for r in span_dedup.dedupe_spans(docs_frame(spark, rows)).collect()}
+    assert all(got[i] == rows[i][1] for i in (0, 2, 4)) and all(got[i] == f"own start {i}\nown end {i}" for i in (1, 3, 5))
+    assert got[8] == " \n" * 50_000 and got[9] == got[10] == "a\nb\nc"
+
+
 # language
 
 def test_marginals_are_exact():
