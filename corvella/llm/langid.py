@@ -44,7 +44,7 @@ def _letters(chunk: str) -> str:
 
 def features_of(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[str]:
     """Word, affix, n-gram and lexicon features of the letters of a lower-case word."""
-    padded = f"<{word[:40]}>"
+    padded = f"<{word}>"
     out = [padded[i : i + 3] for i in range(len(padded) - 2)]
     out += ("w" + word, "p" + word[:2], "q" + word[:3], "s" + word[-2:], "t" + word[-3:], "u" + word[-4:])
     if word in lexicon:

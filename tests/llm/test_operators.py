@@ -263,6 +263,17 @@ def test_language(spark):
     assert langid.predict(df.limit(0), None).count() == 0 and {r.lang_pred for r in langid.predict(df, langid.train(df.limit(0))).collect()} == {"und"}
 
 
+def test_language_of_text_without_spaces(spark):
+    rng = random.Random(11)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    kinds = {"xx": "abcdefgh", "yy": "стуфхцчш"}
+    df = spark.createDataFrame([(i, word(kinds[k], 120), k) for i, k in enumerate(["xx", "yy"] * 60)], "doc_id long, text string, lang string")
+    predict = langid.train(df).predictor()
+    # the first 40 and the last letters are of the other language
+    assert [x for x, _ in predict([word(kinds["xx"], 40) + word(kinds["yy"], 400) + word(kinds["xx"], 4), word(kinds["yy"], 40) + word(kinds["xx"], 400) + word(kinds["yy"], 4)])] == ["yy", "xx"]
+    assert {langid.features_of("a" * 60 + "bcd", {}).count(x) for x in ("abc", "bcd")} == {1}
+
+
 # toxicity
 
 def test_toxicity(spark):
