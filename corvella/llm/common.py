@@ -78,12 +78,13 @@ def id_join(big: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return big.join(F.broadcast(ids) if small else ids, key, how)
 
 
-def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Connected components of ``edges`` (a long, b long) as (node, component): the smallest reachable id.
 
     Alternating large-star and small-star steps, all distributed; each round is checkpointed in the
     shared folder. Self loops vanish; a node without an edge to another node is not in the result.
-    Repeated edges and either direction are fine.
+    Repeated edges and either direction are fine. Rounds grow with the square of the logarithm of the nodes at most; a run
+    that isn't done after ``max_rounds`` raises, as its labels would be wrong.
     """
     shared_root(spark)
     e = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct().checkpoint()
@@ -99,5 +100,7 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -6,18 +6,18 @@
    sketches but for about one pair in a hundred million, so it is enough to look at the rarest values of
    each sketch (prefix filter): a pair that shares that many shares one of those. A passage in a third of
    all documents is among the most frequent values of a sketch and so starts no comparison.
-3. First each class meets the pivots of its lists, later all classes of another component than their
-   list's largest one meet the rest of the list. Pairs are tested where they arise: the size ratio, the parity bitmaps
-   (their distance never exceeds the symmetric difference of the sketches), the overlap and the estimate
-   on the union of two longer sketches (``LONG`` values; sets below that size are compared whole). So few
-   pairs that are no links are written, and a group of n near copies does not make n squared rows.
-4. Exact Jaccard on the full sets, made again from the whole texts, verifies every pair that is left.
-   Verified pairs feed distributed connected components. No pair of different components that passes the
-   sketch tests is left unverified.
+3. Each list has a host, one of its classes. The classes of all lists of one host are a group, so near copies, which
+   share most of their lists, meet once and not list by list. Each class is first verified against the host that most of
+   its lists have; components of these links are the labels.
+4. Groups that still hold more than one label are compared in cells: blocks of classes outside the group's main
+   label against each other and against blocks of the main label, never main against main, so a group of n near copies
+   that its host links makes n rows. A cell has the full sets. A union sketch, the parity bitmap of both sets (its distance
+   never exceeds their symmetric difference), discards pairs without loss; exact Jaccard on the full sets decides the
+   others. A cell returns a spanning forest of its links, so what is written grows with the classes, not the pairs.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased. Cases: with fewer words than the
 shingle length the whole sequence is the one shingle; null text or no words gives an empty set, which
-links with nothing; rows that share a doc_id count as one document by their equal or first set; a null
+links with nothing; rows that share a doc_id count as one document by their equal or smallest set; a null
 doc_id is left out; extra columns are ignored; an empty table gives an empty table.
 """
 
@@ -35,14 +35,12 @@ from corvella.llm.common import Memo, Scratch, components, id_join
 K = 48
 #: Share of a sketch that two sets at 0.75 have in common, less six standard deviations.
 SHARE = 0.375
-#: Retained values that estimate a similarity; 31 bits each.
-LONG = 256
-#: Bits of the parity bitmap of those values.
-BITS = 1024
-SIGMAS = 6
-#: Members of a list that are compared in one piece, and pairs that are tested at a time.
-CELL = 2048
-SLICE = 1 << 17
+#: Classes and shingles that a block of a cell holds at most, on average.
+CELL, CELL_ITEMS = 4096, 1 << 21
+#: Bits of the parity bitmap for sets of up to BITS / 4 shingles; it doubles with the sets.
+BITS = 2048
+#: Shingles that are looked up at a time.
+SLICE = 1 << 20
 _COEF = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -91,122 +89,97 @@ def sketches(docs: DataFrame, size: int = 5, k: int = K) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(cls, items, long, odd): the full set, the leading 31 bits of its LONG smallest values, and their parity bitmap."""
+    """(cls, items): the full set, sorted."""
 
     def run(batches):
         words = _memo()
         for batch in batches:
             parts = [shingles(t, words, size) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            odds = [np.packbits((np.bincount((p[:LONG] % BITS).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64) for p in parts]
-            columns = []
-            for arrays, kind in ((parts, np.int64), ([(p[:LONG] >> 32).astype(np.int32) for p in parts], np.int32), (odds, np.int64)):
-                ends = np.r_[0, np.cumsum([len(p) for p in arrays])].astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, kind))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["cls", "items", "long", "odd"])
+            ends = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+            flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["cls", "items"])
 
-    return docs.mapInArrow(run, "cls long, items array<long>, long array<int>, odd array<long>")
+    return docs.mapInArrow(run, "cls long, items array<long>")
 
 
-def _fits(a: str, b: str, percent: int) -> tuple[F.Column, F.Column]:
-    """(cheap, full) tests that every pair at the similarity passes; a and b are prefixes of n, long and odd.
+def _parity(items: np.ndarray, ends: np.ndarray, bits: int) -> np.ndarray:
+    """For each set the parities of how many of its hashes fall on each bit."""
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    out = np.zeros((len(ends) - 1) * bits, np.uint8)
+    np.bitwise_xor.at(out, row * bits + (items & (bits - 1)), 1)
+    return np.packbits(out).view(np.uint64).reshape(len(ends) - 1, -1)
 
-    Of two sets with sizes n and m at similarity J, i = (n + m) J / (1 + J) items are common. Sketches that
-    hold whole sets must have that many in common, others a share i / max(n, m) of LONG less SIGMAS
-    standard deviations.
-    """
-    j = percent / 100
-    need = f"({j / (1 + j)!r} * ({a}.n + {b}.n))"
-    whole = f"({a}.n <= {LONG} and {b}.n <= {LONG})"
-    share = f"least(1d, {need} / greatest({a}.n, {b}.n))"
-    least = f"(case when {whole} then {need} - 0.001 else {LONG} * {share} - {SIGMAS} * sqrt({LONG} * {share} * (1 - {share})) - 1 end)"
-    apart = " + ".join(f"bit_count({a}.odd[{i}] ^ {b}.odd[{i}])" for i in range(BITS // 64))
-    ratio = F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)")
-    near = F.expr(f"({apart}) <= least({a}.n, {LONG}) + least({b}.n, {LONG}) - 2 * {least}")
-    common = F.expr(f"size(array_intersect({a}.long, {b}.long)) >= {least} - 2")
-    union = f"slice(array_sort(array_union({a}.long, {b}.long)), 1, {LONG})"
-    low = max(0.0, j - SIGMAS * (j * (1 - j) / LONG) ** 0.5)
-    estimate = F.expr(f"{whole} or size(array_intersect(array_intersect({a}.long, {b}.long), {union})) >= {low!r} * {LONG}")
-    return ratio & near, common & estimate
-
-
-def cell_pairs(members: DataFrame, percent: int, best_only: bool = False) -> DataFrame:
-    """Pairs (a, b) of different labels within a list v, at least one outside the list's main label, that pass the
-    tests of size and parity bitmap; each only at the smallest list that both classes are in. With ``best_only`` just
-    the closest pair for each two labels of a cell.
-
-    members: cls, label, n, odd, keys, v, size, main. Lists of over CELL members are dealt into blocks, and each pair
-    of blocks is a cell of its own, so no task gets a whole hot list. Cells come sorted and are worked off as a
-    stream, in slices of pairs.
+
+def cell_links(label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links at the similarity that join different labels, as a forest of (row, row).
+
+    side: 0 or 1; where it holds both, only rows of different sides are compared, else all.
     """
-    blocks = F.ceil(F.col("size") / CELL).cast("int")
-    rows = members.select("cls", "label", "n", "odd", "keys", "v", "main", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "label", "n", "main", "odd", "keys")
     j = percent / 100
-    spare = (1 - j) / (1 + j)
-
-    def pairs_of(columns):
-        v, i, jj, block, cls, label, n, main, odd, keys = columns
-        cuts = np.r_[0, np.flatnonzero((np.diff(v) != 0) | (np.diff(i) != 0) | (np.diff(jj) != 0)) + 1, len(v)]
-        end = np.repeat(cuts[1:], np.diff(cuts))
-        count = end - np.arange(len(v)) - 1
-        total = np.r_[0, np.cumsum(count)]
-        found = []
-        for lo in range(0, int(total[-1]), SLICE):
-            k = np.arange(lo, min(lo + SLICE, int(total[-1])))
-            p = np.searchsorted(total, k, side="right") - 1
-            q = p + 1 + k - total[p]
-            ok = (label[p] != label[q]) & ((label[p] != main[p]) | (label[q] != main[p])) & ((i[p] == jj[p]) | (block[p] != block[q]))
-            ok &= 100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q])
-            p, q = p[ok], q[ok]
-            apart = np.bitwise_count(odd[p] ^ odd[q]).sum(1, dtype=np.int64)
-            share = np.minimum(1.0, (1 - spare) / 2 * (n[p] + n[q]) / np.maximum(n[p], n[q]))
-            sketched = np.minimum(n[p], LONG) + np.minimum(n[q], LONG) - 2 * (LONG * share - SIGMAS * np.sqrt(LONG * share * (1 - share)) - 1)
-            far = np.where((n[p] <= LONG) & (n[q] <= LONG), spare * (n[p] + n[q]) + 0.001, sketched)
-            ok = apart <= far
-            p, q, apart = p[ok], q[ok], apart[ok]
-            if best_only and len(p):
-                low, high = np.minimum(label[p], label[q]), np.maximum(label[p], label[q])
-                order = np.lexsort((apart, high, low, v[p]))
-                new = np.r_[True, (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0) | (np.diff(v[p[order]]) != 0)]
-                p, q = p[order[new]], q[order[new]]
-            found += [*zip(p.tolist(), q.tolist())]
-        held: dict[int, set] = {}
-
-        def own(r):
-            if r not in held:
-                held[r] = set(keys[r].as_py())
-            return held[r]
-
-        out = found if best_only else [(x, y) for x, y in found if min(own(x) & own(y)) == v[x]]
-        a, b = (cls[[z[w] for z in out]] if out else np.zeros(0, np.int64) for w in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    n = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(n, kind="stable")
+    n, side, sets = n[order], side[order], [sets[k] for k in order]
+    comp = np.unique(label[order], return_inverse=True)[1]
+    crossed = side.min() != side.max()
+    level, held, first, out = -1, None, 0, []
+    for r in range(1, len(n)):
+        low = int(np.searchsorted(n, -(-percent * n[r] // 100)))
+        at = np.arange(low, r)[comp[low:r] != comp[r]]
+        at = at[side[at] != side[r]] if crossed else at
+        if not len(at):
+            continue
+        if (now := max(0, int(4 * n[r] - 1).bit_length() - BITS.bit_length() + 1)) != level:
+            # bitmaps of all sets that those of this level can be compared with
+            level, first = now, low
+            last = int(np.searchsorted(n, (BITS << level) // 4, side="right"))
+            ends = np.r_[0, np.cumsum(n[first:last])]
+            held = np.concatenate([_parity(np.concatenate(sets[first:last][k : k + 256]), ends[k : k + 257] - ends[k], BITS << level) for k in range(0, last - first, 256)])
+        apart = np.bitwise_count(held[r - first] ^ held[at - first]).sum(1, dtype=np.int64)
+        at = at[apart <= (1 - j) / (1 + j) * (n[r] + n[at]) + 0.001]
+        done = 0
+        while done < len(at):
+            k = done + max(1, int(np.searchsorted(np.cumsum(n[at[done:]]), SLICE)))
+            part, done = at[done:k], k
+            flat = np.concatenate([sets[x] for x in part])
+            hit = sets[r][np.minimum(np.searchsorted(sets[r], flat), n[r] - 1)] == flat
+            both = np.add.reduceat(hit, np.r_[0, np.cumsum(n[part])[:-1]], dtype=np.int64)
+            for x in part[100 * both >= percent * (n[r] + n[part] - both)]:
+                if comp[x] != comp[r]:
+                    comp[comp == comp[x]] = comp[r]
+                    out.append((int(order[r]), int(order[x])))
+    return out
+
+
+def compare_cells(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links of cells. rows: host, i, j, u, cls, label, items; u is i or j. Cells come sorted and are worked off as
+    a stream, one at a time."""
+
+    def one(table: pa.Table) -> pa.RecordBatch:
+        i, u, cls, label = (table.column(c).to_numpy() for c in ("i", "u", "cls", "label"))
+        items = table.column("items").combine_chunks()
+        items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+        ends = items.offsets.to_numpy()
+        flat = items.values.to_numpy()
+        found = cell_links(label, (u != i).astype(np.int8), [flat[a:b] for a, b in zip(ends[:-1], ends[1:])], percent)
+        x = cls[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(x.min(1)), pa.array(x.max(1))], names=["a", "b"])
 
     def run(batches):
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            v, i, jj = (table.column(c).to_numpy() for c in range(3))
-            # the last cell may go on in the next batch
-            change = np.flatnonzero((np.diff(v) != 0) | (np.diff(i) != 0) | (np.diff(jj) != 0))
-            cut = int(change[-1]) + 1 if len(change) else 0
-            if cut:
-                yield pairs_of(_columns(table.slice(0, cut)))
-            held = table.slice(cut)
+            keys = [table.column(c).to_numpy() for c in ("host", "i", "j")]
+            cuts = np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0) | (np.diff(keys[2]) != 0)) + 1
+            for a, b in zip(np.r_[0, cuts[:-1]], cuts):
+                yield one(table.slice(a, b - a))
+            held = table.slice(cuts[-1] if len(cuts) else 0)  # the last cell may go on in the next batch
         if held is not None and len(held):
-            yield pairs_of(_columns(held))
+            yield one(held)
 
-    dealt = rows.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
+    dealt = rows.select("host", "i", "j", "u", "cls", "label", "items").repartition("host", "i", "j").sortWithinPartitions("host", "i", "j")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _columns(table: pa.Table):
-    table = table.combine_chunks()
-    odd = table.column("odd").combine_chunks()
-    odd = odd.flatten() if isinstance(odd, pa.ListArray) else odd.chunk(0).flatten()
-    return [*[table.column(c).to_numpy() for c in range(8)], odd.to_numpy().view(np.uint64).reshape(-1, BITS // 64), table.column("keys")]
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a, b = sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("items_a", "items_b")))
@@ -232,39 +205,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, k: int =
     # rows that share a doc_id and differ: any of their sets may stand here; exact sizes are tested below
     reps = docs.select(F.col("doc_id").cast("long").alias("cls"), F.col("text").cast("string").alias("text"))
     sets = scratch.table("sets", full_sets(id_join(reps, keyed.select("cls"), "cls"), size))
-    forms = sets.select("cls", "long", "odd")
+    # the host of a list is the class with the smallest hash; lists of one class can't lead anywhere
     lists = keyed.select("cls", F.explode("keys").alias("v"))
+    hosts = lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("host"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    member = lists.join(hosts.select("v", F.col("host.cls").alias("host")), "v").groupBy("cls", "host").agg(F.count(F.lit(1)).alias("shared"))
+    member = scratch.table("member", member)
 
-    # each class meets the pivots of its lists, and is verified against the one most like it
-    order = F.struct(F.xxhash64("cls"), F.col("cls"))
-    pivots = lists.groupBy("v").agg(F.min(order).alias("p"), F.max(order).alias("q"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    pivots = pivots.select("v", F.explode(F.array_distinct(F.array(F.col("p.cls"), F.col("q.cls")))).alias("pivot"))
-    star = lists.join(pivots, "v").where("cls <> pivot").select("cls", "pivot").distinct()
-    side = keyed.select("cls", "n").join(forms, "cls")
-    x = side.select("cls", F.struct("n", "long", "odd").alias("x"))
-    y = side.select(F.col("cls").alias("pivot"), F.struct("n", "long", "odd").alias("y"))
-    cheap, whole = _fits("x", "y", percent)
-    close = star.join(x, "cls").join(y, "pivot").where(cheap & whole)
-    best = close.groupBy("cls").agg(F.max(F.struct(F.size(F.array_intersect("x.long", "y.long")).alias("c"), "pivot")).alias("best"))
-    first = scratch.table("first", best.select(F.least("cls", "best.pivot").alias("a"), F.greatest("cls", "best.pivot").alias("b")).distinct())
-    links = scratch.table("links", _verified(first, sets, percent))
+    # each class is verified against the host of most of its lists
+    best = member.where("cls <> host").groupBy("cls").agg(F.max(F.struct("shared", "host")).alias("best"))
+    links = scratch.table("links", _verified(best.select(F.col("cls").alias("a"), F.col("best.host").alias("b")), sets, percent))
     labels = scratch.table("labels", components(spark, links))
 
-    # what the pivots left: members outside their list's largest component meet the rest of the list. First one
-    # pair for two components and cell is enough, as it will mostly merge them; then all that still differ
-    x, y = side.select(F.col("cls").alias("a"), F.struct("n", "long", "odd").alias("x")), side.select(F.col("cls").alias("b"), F.struct("n", "long", "odd").alias("y"))
-    for turn, best_only in enumerate((True, False)):
-        named = keyed.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "n", "keys", F.coalesce("component", "cls").alias("label"))
-        member = named.select("cls", "label", F.explode("keys").alias("v"))
-        mains = member.groupBy("v", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("v").agg(F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("size")).where("parts > 1").select("v", "size", F.col("top.label").alias("main"))
-        mains = scratch.table(f"mains{turn}", mains)
-        shapes = named.join(forms.select("cls", "odd"), "cls").select("cls", "label", "n", "odd", "keys", F.explode("keys").alias("v")).join(mains, "v")
-        pairs = cell_pairs(shapes, percent, best_only).distinct().join(first, ["a", "b"], "left_anti")
-        pairs = scratch.table(f"pairs{turn}", pairs.join(x, "a").join(y, "b").where(whole).select("a", "b"))
-        links = scratch.table(f"links{turn}", links.union(_verified(pairs, sets, percent)).distinct())
-        labels = scratch.table(f"labels{turn}", components(spark, links))
-        scratch.drop(f"mains{turn}", f"pairs{turn}")
-    scratch.drop("sets", "first", "keyed")
+    # what the hosts left: groups of several labels, in cells
+    named = member.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "host", F.coalesce("component", "cls").alias("label"))
+    named = scratch.table("named", named.join(keyed.select("cls", "n"), "cls"))
+    parts = named.groupBy("host", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"))
+    groups = parts.groupBy("host").agg(F.max(F.struct("m", "label", "items")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("m").alias("m"), F.sum("items").alias("items")).where("labels > 1")
+    blocks = lambda m, items: F.greatest(F.ceil(m / CELL), F.ceil(items / CELL_ITEMS)).cast("int")
+    groups = groups.select("host", F.col("top.label").alias("main"), blocks(F.col("m") - F.col("top.m"), F.col("items") - F.col("top.items")).alias("rest"), blocks(F.col("top.m"), F.col("top.items")).alias("most"))
+    rows = named.join(groups, "host")
+    hashed = F.xxhash64("cls")
+    inner = F.col("label") == F.col("main")
+    rows = rows.select("cls", "label", "host", "rest", "most", F.when(inner, F.col("rest") + F.pmod(hashed, F.col("most"))).otherwise(F.pmod(hashed, F.col("rest"))).cast("int").alias("u"), inner.alias("inner"))
+    rows = rows.withColumn("o", F.explode(F.expr("sequence(0, if(inner, rest, rest + most) - 1)")))
+    rows = rows.select("cls", "label", "host", "u", F.least("u", "o").alias("i"), F.greatest("u", "o").alias("j"))
+    links = scratch.table("all_links", links.union(compare_cells(rows.join(sets, "cls"), percent)))
+    labels = scratch.table("all_labels", components(spark, links))
+    scratch.drop("sets", "keyed", "member", "named", "links")
 
     classed = scratch.table("classed", classes.select("h1", "h2", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "cls").alias("component")))
     rows = every.groupBy("doc_id").agg(F.min(F.struct("n", "h1", "h2")).alias("z")).select("doc_id", "z.n", "z.h1", "z.h2")

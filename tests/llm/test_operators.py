@@ -188,6 +188,23 @@ def test_near_duplicates_edges(spark):
     assert {k: v["component_id"] for k, v in got.items()} == {7: 3, 3: 3, 9: 9} and not got[7]["kept"]
 
 
+def test_cell_links_brute():
+    rng = np.random.default_rng(12)
+    for crossed in (False, True):
+        sets, pool = [], [rng.integers(0, 1 << 62, n) for n in (40, 500, 1500, 5000)]
+        for k in range(120):  # copies of four sizes at similarities around the limit, and strangers
+            own = rng.choice(pool[k % 4], int(len(pool[k % 4]) * rng.uniform(0.8, 1)), replace=False)
+            sets.append(np.unique(np.r_[own, rng.integers(0, 1 << 62, int(len(own) * rng.uniform(0, 0.08)))]))
+        label, side = rng.integers(0, 100, 120), rng.integers(0, 2, 120) if crossed else np.zeros(120, int)
+        got = minhash.cell_links(label, side, sets, 75)
+        jaccard = lambda a, b: len(np.intersect1d(a, b)) * 100 >= 75 * len(np.union1d(a, b))
+        assert all(jaccard(sets[a], sets[b]) for a, b in got) and len(got) > 20
+        same = [(1000 + int(label[k]), k) for k in range(120)]  # rows of a label are linked already
+        wanted = [(a, b) for a, b in combinations(range(120), 2) if (not crossed or side[a] != side[b]) and jaccard(sets[a], sets[b])]
+        nodes = [*range(120), *{a for a, _ in same}]
+        assert reach(nodes, same + got) == reach(nodes, same + wanted) and len(got) < 120
+
+
 # spans
 
 def test_spans(spark):
