@@ -21,5 +21,6 @@ ORACLES = {
     "op1_chat_format": chat.ORACLE,
     "op2_embedding_near_dedup": embed_join.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
+    "op4_substring_dedup": span_dedup.ORACLE,
     "op9_minhash_near_dedup": minhash.ORACLE,
 }

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from itertools import combinations
 
@@ -208,44 +209,80 @@ def test_cell_links_brute():
 # spans
 
 def test_spans(spark):
-    shared = "One shared sentence with some words here. A second shared sentence follows it. And a third one ends it."
-    rows = [(4, f"Own start of four. {shared} Own end of four."), (2, f"Own start of two. {shared}\nOwn end of two."), (6, shared.upper()), (1, None), (3, ""), (5, "Short. Very. So."), (8, "Short. Very. So."), (None, shared), (9, " ".join(["word"] * 60) + "."), (10, "x. " + " ".join(["word"] * 60) + ".")]
+    rng = random.Random(2)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(12)).capitalize() + "."
+    shared = " ".join(sentence() for _ in range(4))
+    rows = [(4, f"Own start of four. {shared} Own end of four."), (2, f"Own start of two. {shared}\nOwn end of two."), (6, shared.upper()), (1, None), (3, ""), (5, "Short. Very. So."), (8, "Short. Very. So."), (None, shared)]
+    rows += [(9, " ".join(["word"] * 60) + "."), (10, "x. " + " ".join(["word"] * 60) + "."), (11, " \n\t "), (12, f"  before the passage {shared} behind it")]
     got = {r.doc_id: r for r in span_dedup.dedupe_spans(docs_frame(spark, rows)).collect()}
     assert got[2].text == rows[1][1] and got[4].text == "Own start of four. Own end of four." and got[6].text == ""
-    assert got[1].text == "" and got[5].text == got[8].text == "Short. Very. So." and got[None].text == shared
+    assert (got[4].n_sentences, got[4].n_dropped, got[2].n_dropped) == (6, 4, 0)
+    assert got[1].text == "" and got[1].n_sentences == 0 and got[11].text == " \n\t "
+    assert got[5].text == got[8].text == "Short. Very. So." and got[None].text == shared
     assert got[9].n_dropped == 0 and got[10].text == "x. "
+    # in the midst of another sentence: the host's own words may only lose their neighbours in the piece
+    assert got[12].text.startswith("  before") and len(got[12].text.split()) < 20
     assert span_dedup.dedupe_spans(docs_frame(spark, [])).count() == 0
 
 
+def brute_spans(rows, least=30, reach=4):
+    digest = lambda w: hashlib.md5(w.encode()).hexdigest()[:15]
+    every, cut = [], {}
+    for i, t in rows:
+        raw = [m.group() for m in re.finditer(r"[^ \t-\r]+[ \t-\r]*", t)]
+        words = [w.split()[0].lower() for w in raw]
+        ends = [k + 1 for k, w in enumerate(words) if w[-1] in ".!?" or "\n" in raw[k] or k + 1 == len(words)]
+        pieces = []
+        for a, b in zip([0, *ends], ends):
+            d = [digest(w) for w in words[a:b]]
+            pieces += [a] + [a + k for k in range(reach, b - a - reach) if d[k] < min(d[k - reach : k]) and d[k] <= min(d[k + 1 : k + 1 + reach])]
+        closes = [*pieces[1:], len(words)] if pieces else []
+        own = {(s, e) for s in pieces for e in [min((e for e in closes if e >= s + least), default=None)] if e}
+        own |= {(max(s for s in pieces if s + least <= e), e) for e in ends if e >= least and e not in {z for _, z in own}}
+        every += [(tuple(words[s:e]), i, s, e) for s, e in own]
+        cut[i] = (t, raw, set())
+    first = {}
+    for key, i, s, _ in sorted(every, key=lambda x: x[1:3]):
+        first.setdefault(key, (i, s))
+    for key, i, s, e in every:
+        if first[key] != (i, s):
+            cut[i][2].update(range(s, e))
+    return {i: t[: len(t) - len("".join(raw))] + "".join(w for k, w in enumerate(raw) if k not in gone) for i, (t, raw, gone) in cut.items()}
+
+
 def test_spans_brute(spark):
     rng = random.Random(4)
-    pool = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 30))) + "." for _ in range(25)]
-    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(60)]
-    spans = {}
-    every = []
-    for i, t in rows:
-        parts = span_dedup.pieces(t.encode())
-        words = [p.split() for p in parts]
-        for s in range(len(parts)):
-            k = next((k for k in (1, 2, 3) if s + k <= len(parts) and (k == 3 or sum(map(len, words[s : s + k])) >= span_dedup.LONG_WORDS)), None)
-            if k and sum(map(len, words[s : s + k])) >= span_dedup.LEAST_WORDS:
-                key = tuple(tuple(w) for w in words[s : s + k])
-                spans.setdefault(key, (i, s))
-                every.append((key, i, s, k))
-    cut = {(i, s + j) for key, i, s, k in every if spans[key] != (i, s) for j in range(k)}
-    expected = {i: b"".join(p for n, p in enumerate(span_dedup.pieces(t.encode())) if (i, n) not in cut).decode() for i, t in rows}
-    assert {r.doc_id: r.text for r in span_dedup.dedupe_spans(docs_frame(spark, rows)).collect()} == expected and cut
+    word = lambda: rng.choice("abcdefgh") * rng.randint(1, 3) + rng.choice(["", "", ",", "x"])
+    pool = [" ".join(word() for _ in range(rng.choice([1, 3, 8, 15, 40]))) + rng.choice([". ", ".\n", "! ", "\n\n", " "]) for _ in range(30)]
+    rows = [(i, rng.choice(["", " "]) + "".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(80)]
+    expected = brute_spans(rows)
+    assert {r.doc_id: r.text for r in span_dedup.dedupe_spans(docs_frame(spark, rows)).collect()} == expected
+    assert sum(expected[i] != t for i, t in rows) > 20
+
+
+def test_spans_find_passages_wherever_they_begin(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7)))
+    prose = lambda n: "".join(word() + rng.choice([" "] * 11 + [", ", ". "]) for _ in range(n)).strip()
+    rows = []
+    for k in range(200):
+        passage = prose(rng.randint(51, 70))
+        rows += [(2 * k, f"{prose(rng.randint(0, 40))} {passage} {prose(40)}"), (2 * k + 1, f"{prose(rng.randint(0, 40))} {passage} {prose(40)}")]
+    rows += [(1000 + k, prose(rng.randint(1, 300))) for k in range(100)]
+    got = {r.doc_id: r.n_dropped for r in span_dedup.dedupe_spans(docs_frame(spark, rows)).collect()}
+    assert sum(got[2 * k + 1] > 0 for k in range(200)) >= 195 and not any(got[2 * k] for k in range(200)) and not any(got[1000 + k] for k in range(100))
 
 
 def test_spans_of_short_lines_and_of_text_without_spaces(spark):
     menu = [f"item{i}" if i % 2 else f"item {i}" for i in range(60)]
-    glyphs = [chr(0x4E00 + i) * 100 for i in range(3)]  # three lines of 100 letters
-    line = "".join(chr(0x5000 + i) for i in range(600))  # one line as long as a long sentence
-    rows = [(i, "\n".join([f"own start {i}", *common, f"own end {i}"])) for i, common in enumerate([menu, menu, glyphs, glyphs, [line], [line]])]
-    rows += [(8, " \n" * 50_000), (9, "a\nb\nc"), (10, "a\nb\nc")]
+    rng = random.Random(15)
+    glyphs = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    lines, line = [glyphs(150) for _ in range(4)], glyphs(900)
+    rows = [(i, "\n".join([f"own start {i}", *common, f"own end {i}"])) for i, common in enumerate([menu, menu, lines, lines, [line], [line]])]
+    rows += [(6, "。".join(glyphs(20) for _ in range(9)) + line + glyphs(200)), (8, " \n" * 50_000), (9, "a\nb\nc"), (10, "a\nb\nc"), (11, "x" * 100_000)]
     got = {r.doc_id: r.text for r in span_dedup.dedupe_spans(docs_frame(spark, rows)).collect()}
-    assert all(got[i] == rows[i][1] for i in (0, 2, 4)) and all(got[i] == f"own start {i}\nown end {i}" for i in (1, 3, 5))
-    assert got[8] == " \n" * 50_000 and got[9] == got[10] == "a\nb\nc"
+    assert all(got[i] == dict(rows)[i] for i in (0, 2, 4, 8, 9, 10, 11))
+    assert all(got[i] == f"own start {i}\nown end {i}" for i in (1, 3, 5)) and len(got[6]) < len(rows[6][1]) - 600  # less its first and last piece
 
 
 # language
