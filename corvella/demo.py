@@ -11,7 +11,7 @@ from corvella.functions.predicates import All, Any, Custom, Not, field, path
 from corvella.functions.text import tokens
 from corvella.operators import mutations, relations
 from corvella.plans.query import Collection
-from corvella.schema import Composite, Index, schema_of
+from corvella.schema import CollectionSchema, Composite, Field, Index, schema_of
 
 IDS = {"orders": "o_orderkey", "customer": "c_custkey", "documents": "doc_id", "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "events": "event_id", "embeddings": "vec_id", "pages": "page_id"}
 INDEXES = {
@@ -93,8 +93,8 @@ def _upsert_by_key(s, d):
 def _replace_unique(s, d):
     c = collection(s, d, "customer")
     new = c.frame().where("c_custkey % 10 = 0").withColumn("c_custkey", F.col("c_custkey") + 10_000_000)
-    base = mutations.enforce_unique(c.frame(), new, c.schema)
-    return mutations.upsert(base, new, "c_custkey").select("c_custkey", "c_name")
+    kept, gone = mutations.enforce_unique(c.frame(), new.withColumn("__n", F.col("c_custkey")), c.schema)
+    return mutations.upsert(mutations.delete_ids(c.frame(), gone, "c_custkey"), kept, "c_custkey").select("c_custkey", "c_name")
 
 
 def _words(s, d):
@@ -106,11 +106,47 @@ def _update_window(s, d):
     return mutations.update_all(q, {"o_orderpriority": "top"}).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _word_lists(s, d):
+    """Parts with the words of their name as a list: empty for every seventh, with a null for every fifth."""
+    df = table(s, d, "part").withColumn("words", F.expr("case when p_partkey % 7 = 0 then array() when p_partkey % 5 = 0 then array_append(split(p_name, ' '), null) else split(p_name, ' ') end"))
+    return Collection(schema_of("part", df.schema, "p_partkey"), df)
+
+
+WORD_LISTS = "(SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN [] WHEN p_partkey % 5 = 0 THEN list_append(string_split(p_name, ' '), NULL) ELSE string_split(p_name, ' ') END AS words FROM part)"
+
+
+def _lists(test):
+    return lambda s, d: _word_lists(s, d).filter(test).compile().select("p_partkey")
+
+
+def _property_first(s, d):
+    first = _orders(s, d).all().sort_by("o_totalprice", True).property("o_custkey").find_first()
+    none = _orders(s, d).filter(field("o_custkey").equal_to(-1)).property("o_custkey").find_first()
+    return s.createDataFrame([(first, none)], "first long, none long")
+
+
+def _first(s, d):
+    row = _orders(s, d).filter(field("o_orderstatus").equal_to("F")).sort_by("o_totalprice").find_first()
+    return s.createDataFrame([(row.o_orderkey, row.o_custkey)], "o_orderkey long, o_custkey long")
+
+
+def _update_first(s, d):
+    q = _orders(s, d).filter(field("o_orderstatus").equal_to("F")).sort_by("o_totalprice", True).limit(5).capped(1)
+    return mutations.update_all(q, {"o_orderpriority": "first"}).select("o_orderkey", "o_orderpriority")
+
+
+def _enum_names(s, d):
+    df = table(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    status = Field("o_orderstatus", "enum", enum=(("finished", "F"), ("open", "O"), ("partial", "P")))
+    orders = Collection(CollectionSchema("orders", (Field("o_orderkey", "int", False, True), status)), df)
+    return orders.all().property("o_orderstatus", decode="enum").frame()
+
+
 QUERIES = {
     "scan_all": (lambda s, d: _orders(s, d).all().compile().select("o_orderkey", "o_custkey"), "SELECT o_orderkey, o_custkey FROM orders"),
     "document_ids": (lambda s, d: _orders(s, d).document_ids(), "SELECT o_orderkey FROM orders"),
     "ids_page": (lambda s, d: _orders(s, d).document_ids_page(100, 1000), "SELECT o_orderkey FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 1000"),
-    "get_one": (lambda s, d: _orders(s, d).frame().where(F.col("o_orderkey") == 7).select("o_orderkey", "o_custkey"), "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7"),
+    "get_one": (lambda s, d: (lambda r: s.createDataFrame([(r.o_orderkey, r.o_custkey)], "o_orderkey long, o_custkey long"))(_orders(s, d).get(7)), "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7"),
     "get_all": (lambda s, d: _orders(s, d).get_all_frame([5, 1, 999_999_999, 1]).select("pos", "o_orderkey", "o_custkey"), "SELECT pos::INT AS pos, o_orderkey, o_custkey FROM (VALUES (0, 5), (1, 1), (2, 999999999), (3, 1)) v(pos, id) LEFT JOIN orders ON id = o_orderkey"),
     "project_ids": (lambda s, d: _orders(s, d).project_ids([5, 1, 999_999_999], "o_custkey"), "SELECT o_custkey FROM orders WHERE o_orderkey IN (5, 1)"),
     "aggregate_ids": (lambda s, d: _orders(s, d).aggregate_ids([5, 1, 7], "o_custkey", "sum"), "SELECT sum(o_custkey)::DOUBLE AS sum FROM orders WHERE o_orderkey IN (5, 1, 7)"),
@@ -135,11 +171,24 @@ QUERIES = {
     "compare_at_most": (lambda s, d: _nullable_orders(s, d).filter(field("price").at_most(20_000)).compile().select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_custkey % 3 <> 0 AND o_totalprice <= 20000"),
     "between": (_keys("orders", lambda c: c.filter(field("o_custkey").between(10, 20))), "SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 10 AND 20"),
     "is_null": (lambda s, d: _nullable_orders(s, d).filter(field("status").equal_to(None)).compile().select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'"),
-    "contains": (_keys("part", lambda c: c.filter(field("p_name").contains("ee"))), "SELECT p_partkey FROM part WHERE contains(p_name, 'ee')"),
+    "get_none": (lambda s, d: s.createDataFrame([(_orders(s, d).get(-1) is None,)], "missing boolean"), "SELECT NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = -1) AS missing"),
+    "get_many": (lambda s, d: _orders(s, d).get_all_frame([*range(3000, 0, -2)]).select("pos", "o_orderkey", "o_custkey"), "SELECT i::INT AS pos, o_orderkey, o_custkey FROM range(1500) t(i) LEFT JOIN orders ON o_orderkey = 3000 - 2 * i"),
+    "contains": (_keys("part", lambda c: c.filter(field("p_name").contains("in"))), "SELECT p_partkey FROM part WHERE contains(p_name, 'in')"),
+    "list_contains": (_lists(field("words").contains("ring")), f"SELECT p_partkey FROM {WORD_LISTS} WHERE list_contains(words, 'ring')"),
+    "list_contains_null": (_lists(field("words").contains(None)), f"SELECT p_partkey FROM {WORD_LISTS} WHERE len(list_filter(words, lambda x: x IS NULL)) > 0"),
+    "list_empty": (_lists(field("words").is_empty()), f"SELECT p_partkey FROM {WORD_LISTS} WHERE len(words) = 0"),
+    "list_length_equal": (_lists(field("words").length_equal_to(3)), f"SELECT p_partkey FROM {WORD_LISTS} WHERE len(words) = 3"),
+    "id_filter": (_keys("orders", lambda c: c.filter(All((field("o_orderkey").greater_than(500), Not(field("o_orderkey").at_least(600)))))), "SELECT o_orderkey FROM orders WHERE o_orderkey > 500 AND o_orderkey < 600"),
+    "property_first": (_property_first, "SELECT (SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS first, NULL::BIGINT AS none"),
+    "find_first": (_first, "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice, o_orderkey LIMIT 1"),
+    "enum_names": (_enum_names, "SELECT CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'partial' END AS o_orderstatus FROM orders"),
+    "update_first": (_update_first, "SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderstatus <> 'F', o_totalprice DESC, o_orderkey) = 1 THEN 'first' ELSE o_orderpriority END AS o_orderpriority FROM orders"),
+    "delete_first": (lambda s, d: mutations.delete_all(_orders(s, d).filter(field("o_orderstatus").equal_to("O")).sort_by("o_totalprice").capped(1)).select("o_orderkey"), "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderstatus <> 'O', o_totalprice, o_orderkey) > 1"),
+    "links_replaced": (lambda s, d: relations.replace_links(_links(s, d), "orders", "customer", "customer", s.createDataFrame([(1, 5), (1, 6), (1, 6)], "source_id long, target_id long"), s.createDataFrame([(1,), (2,)], "source_id long")).select("source_id", "target_id"), "SELECT o_orderkey AS source_id, o_custkey AS target_id FROM orders WHERE o_orderkey NOT IN (1, 2) UNION ALL VALUES (1, 5), (1, 6)"),
     "ends_with": (_keys("pages", lambda c: c.filter(field("url").ends_with("1"))), "SELECT page_id FROM pages WHERE ends_with(url, '1')"),
     "starts_with": (_keys("pages", lambda c: c.filter(field("url").starts_with("https"))), "SELECT page_id FROM pages WHERE starts_with(url, 'https')"),
     "list_length": (lambda s, d: baskets(s, d).filter(field("items").length_between(3, 5, True, False)).compile().select("l_orderkey"), "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3 AND count(*) < 5"),
-    "list_not_empty": (lambda s, d: baskets(s, d).filter(All((field("items").is_not_empty(), Not(field("items").is_empty())))).compile().select("l_orderkey"), "SELECT DISTINCT l_orderkey FROM lineitem"),
+    "list_not_empty": (_lists(field("words").is_not_empty()), f"SELECT p_partkey FROM {WORD_LISTS} WHERE len(words) > 0"),
     "list_any": (_keys("embeddings", lambda c: c.filter(Custom(lambda r: F.exists(r.embedding, lambda x: x > F.lit(0.3).cast("float"))))), "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.3::FLOAT)) > 0"),
     "nested_path": (lambda s, d: baskets(s, d).filter(path("items", "quantity").equal_to(50.0)).compile().select("l_orderkey"), "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity = 50"),
     "nested_independent": (lambda s, d: baskets(s, d).filter(All((path("items", "flag").equal_to("R"), path("items", "quantity").equal_to(50.0)))).compile().select("l_orderkey"), "SELECT DISTINCT l_orderkey FROM lineitem l WHERE l_quantity = 50 AND EXISTS (SELECT 1 FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_returnflag = 'R')"),
@@ -148,6 +197,7 @@ QUERIES = {
     "any_of": (_keys("orders", lambda c: c.all().any_of([3, 8, 11], lambda q, k: q.where_matches(field("o_custkey").equal_to(k)))), "SELECT o_orderkey FROM orders WHERE o_custkey IN (3, 8, 11)"),
     "any_of_none": (_keys("orders", lambda c: c.all().any_of([], lambda q, k: q)), "SELECT o_orderkey FROM orders WHERE false"),
     "all_of": (_keys("part", lambda c: c.all().all_of(["a", "e"], lambda q, k: q.where_matches(field("p_name").contains(k)))), "SELECT p_partkey FROM part WHERE contains(p_name, 'a') AND contains(p_name, 'e')"),
+    "optional_on": (_keys("part", lambda c: c.all().optional(True, lambda q: q.where_matches(field("p_size").equal_to(1)))), "SELECT p_partkey FROM part WHERE p_size = 1"),
     "optional_off": (_keys("part", lambda c: c.all().optional(False, lambda q: q.where_matches(field("p_size").equal_to(1)))), "SELECT p_partkey FROM part"),
     "unknown_field": (_keys("orders", lambda c: c.filter(field("nothing").equal_to(1))), "SELECT o_orderkey FROM orders WHERE false"),
     "sort_window": (lambda s, d: _orders(s, d).all().sort_by("o_totalprice", True).offset(5).limit(10).properties(["o_orderkey", "o_totalprice"]).frame(), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10 OFFSET 5"),

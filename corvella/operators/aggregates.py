@@ -17,6 +17,7 @@ class PropertyQuery:
     query: object
     name: str
     decode: Callable[[Column], Column] | None = None
+    value: Callable | None = None
 
     def _pick(self, rows: DataFrame) -> DataFrame:
         c = F.col(f"`{self.name}`")
@@ -27,11 +28,11 @@ class PropertyQuery:
         return self._pick(self.query.ordered())
 
     def find_all(self) -> list:
-        return [r[0] for r in self.frame().collect()]
+        return [self.value(r[0]) if self.value else r[0] for r in self.frame().collect()]
 
     def find_first(self):
         rows = self._pick(self.query.capped(1).ordered()).collect()
-        return rows[0][0] if rows else None
+        return (self.value(rows[0][0]) if self.value else rows[0][0]) if rows else None
 
     def aggregate_frame(self, op: str) -> DataFrame:
         """One row. count: of values that aren't null. sum and average are doubles whatever the field."""

@@ -30,27 +30,38 @@ def _key(fields: tuple[str, ...], schema: CollectionSchema, case_sensitive: bool
     return [F.lower(F.col(f)) if not case_sensitive and schema.field(f).kind == "string" else F.col(f) for f in fields]
 
 
-def enforce_unique(base: DataFrame, new: DataFrame, schema: CollectionSchema) -> DataFrame:
-    """``base`` without the rows that replace indexes give up for ``new``; raises where a unique key is taken.
+def enforce_unique(base: DataFrame, new: DataFrame, schema: CollectionSchema) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ``new`` that stay, ids of ``base`` that go or None); raises where a unique key is taken.
 
-    Keys with a null part are exempt. ``base`` may hold older versions of the new rows; those don't count.
+    ``new`` has the order of its rows in ``__n``. A replace index removes the row that held the key before: of the base, or
+    an earlier one of the batch. Keys with a null part are exempt. ``base`` may hold older versions of the new rows;
+    those count only if the new version goes too.
     """
-    id_field = schema.id
+    id_field, keys = schema.id, []
     others = base.join(new.select(id_field), id_field, "left_anti")
-    lost = []
-    for fields, replaces, case_sensitive in schema.unique_keys():
+    kept, clashes = new, []
+    for fields, replaces, case_sensitive in sorted(schema.unique_keys(), key=lambda k: not k[1]):
         key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(_key(fields, schema, case_sensitive))])
-        whole = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in fields])
-        fresh = new.where(whole).select(F.col(id_field).alias("__new"), key.alias("__key"))
-        twice = fresh.groupBy("__key").count().where("count > 1").limit(1).collect()
-        if twice:
-            raise UniqueIndexError(f"{schema.name}: {', '.join(fields)} repeats in one batch")
-        clash = others.where(whole).select(F.col(id_field), key.alias("__key")).join(fresh, "__key").select(id_field)
+        keys.append((fields, replaces, key, reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in fields])))
+    for _, replaces, key, whole in keys:
         if replaces:
-            lost.append(clash)
-        elif clash.limit(1).collect():
-            raise UniqueIndexError(f"{schema.name}: {', '.join(fields)} is taken")
-    return base.join(reduce(lambda a, b: a.union(b), lost).distinct(), id_field, "left_anti") if lost else base
+            last = new.where(whole).groupBy(key.alias("__key")).agg(F.max("__n").alias("__last"))
+            later = new.where(whole).select(id_field, "__n", key.alias("__key")).join(last, "__key").where("__n < __last").select(id_field)
+            kept = kept.join(later, id_field, "left_anti")
+            clashes.append(others.where(whole).select(F.col(id_field), key.alias("__key")).join(last, "__key").select(id_field))
+    gone = None
+    if clashes:
+        dropped = new.select(id_field).join(kept.select(id_field), id_field, "left_anti").join(base.select(id_field), id_field, "left_semi")
+        gone = reduce(lambda a, b: a.union(b), [*clashes, dropped]).distinct()
+        others = others.join(gone, id_field, "left_anti")
+    for fields, replaces, key, whole in keys:
+        if not replaces:
+            fresh = kept.where(whole).select(key.alias("__key"))
+            if fresh.groupBy("__key").count().where("count > 1").limit(1).collect():
+                raise UniqueIndexError(f"{schema.name}: {', '.join(fields)} repeats in one batch")
+            if others.where(whole).select(key.alias("__key")).join(fresh, "__key", "left_semi").limit(1).collect():
+                raise UniqueIndexError(f"{schema.name}: {', '.join(fields)} is taken")
+    return kept.drop("__n"), gone
 
 
 def reuse_ids(base: DataFrame, new: DataFrame, schema: CollectionSchema, fields: tuple[str, ...], case_sensitive: bool = True) -> DataFrame:

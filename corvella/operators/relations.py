@@ -34,12 +34,16 @@ def load_backlinks(relations: DataFrame, source: str, link: str, origin: DataFra
     return rows.join(origin, F.col("source_id") == F.col(origin_id)).drop("source_id")
 
 
-def replace_links(relations: DataFrame, source: str, link: str, target: str, wanted: DataFrame, sources: DataFrame, source_frame: DataFrame, source_id: str, target_frame: DataFrame, target_id: str) -> DataFrame:
+def check_ends(source: str, link: str, source_frame: DataFrame, source_id: str, sources: list[int], target_frame: DataFrame, target_id: str, targets: list[int]) -> None:
+    """Raises unless all documents that a link is to join exist."""
+    for frame, key, ids in ((source_frame, source_id, sources), (target_frame, target_id, targets)):
+        wanted = frame.sparkSession.createDataFrame([(int(i),) for i in ids], f"{key} long")
+        if lost := wanted.join(frame, key, "left_anti").limit(1).collect():
+            raise QueryError(f"{source}.{link}: no document with id {lost[0][0]}")
+
+
+def replace_links(relations: DataFrame, source: str, link: str, target: str, wanted: DataFrame, sources: DataFrame) -> DataFrame:
     """Relations where each of ``sources`` (source_id) links to exactly its ``wanted`` (source_id, target_id) rows."""
-    lost = sources.select("source_id").join(source_frame, F.col("source_id") == F.col(source_id), "left_anti").limit(1).collect()
-    gone = wanted.select("target_id").join(target_frame, F.col("target_id") == F.col(target_id), "left_anti").limit(1).collect()
-    if lost or gone:
-        raise QueryError(f"{source}.{link}: no document with id {(lost or gone)[0][0]}")
     mine = (F.col("source") == source) & (F.col("link") == link)
     kept = relations.where(~mine).unionByName(relations.where(mine).join(sources.select("source_id").distinct(), "source_id", "left_anti"))
     new = wanted.select("source_id", "target_id").distinct().select(F.lit(source).alias("source"), "source_id", F.lit(link).alias("link"), F.lit(target).alias("target"), "target_id")

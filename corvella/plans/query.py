@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvella.errors import QueryError, SchemaError
-from corvella.functions.predicates import All, Any, Filter, equals, field, plain
+from corvella.functions.predicates import All, Any, Filter, _comparable, equals, field, plain
 from corvella.functions.text import split_words, tokens
 from corvella.operators.aggregates import PropertiesQuery, PropertyQuery
 from corvella.schema import CollectionSchema, Index
 
 
+#: Ids that are pushed into the scan, and that are broadcast (8 MB) to thin out the table; more are shuffled with it.
+PUSHED_IDS, BROADCAST_IDS = 1_000, 1_000_000
+
+
 def _fold(col: Column, case_sensitive: bool) -> Column:
     return col if case_sensitive else F.lower(col)
 
@@ -88,6 +92,8 @@ class Query:
             raise ValueError("bools have no range")
         if len({"n" if isinstance(x, (int, float)) else type(x) for x in ends}) > 1:
             raise ValueError("the bounds of a range are of one kind")
+        if not all(_comparable(self.schema.field(name).type(), x) for x in ends):
+            raise ValueError(f"{self.schema.name}.{name}: the bounds of a range are of the field's kind")
         value = lambda: _fold(F.col(name), index.case_sensitive)
 
         def test(_):
@@ -112,11 +118,15 @@ class Query:
     def words_contain(self, name: str, text: str) -> "Query":
         """Rows that hold the first word of ``text``; none if it has no word."""
         word, held = self._word(name, text)
-        return self._from(Source(lambda t: F.lit(False) if word is None else F.array_contains(held(), word)))
+        return self._from(Source(lambda t: F.lit(False) if word is None else self._holds(name, word) & F.array_contains(held(), word)))
+
+    def _holds(self, name: str, word: str) -> Column:
+        """A cheap test that texts with the word pass, so that few are split."""
+        return _fold(F.col(name), self.schema.field(name).index.case_sensitive).contains(word)
 
     def words_start_with(self, name: str, text: str) -> "Query":
         word, held = self._word(name, text)
-        return self._from(Source(lambda t: F.lit(False) if word is None else F.exists(held(), lambda w: w.startswith(word))))
+        return self._from(Source(lambda t: F.lit(False) if word is None else self._holds(name, word) & F.exists(held(), lambda w: w.startswith(word))))
 
     def composite_equal(self, name: str, values: Iterable) -> "Query":
         c, values = self.schema.composite(name), list(values)
@@ -201,11 +211,11 @@ class Query:
         return keys if id_first else [*keys, F.col(self.schema.id).asc()]
 
     def matching(self) -> DataFrame:
-        """The rows of source and filter."""
+        """The rows of source and filter; the filter first, as a source may split texts into words."""
         df = self.frame()
-        if self.source:
-            df = df.where(self.source.test(df.schema))
-        return df.where(self.filter.compile(df.schema)) if self.filter else df
+        if self.filter:
+            df = df.where(self.filter.compile(df.schema))
+        return df.where(self.source.test(df.schema)) if self.source else df
 
     def compile(self) -> DataFrame:
         """The rows of the query; ordered only as far as offset and limit need it."""
@@ -243,9 +253,16 @@ class Query:
     def count(self) -> int:
         return self.count_frame().first()[0]
 
-    def property(self, name: str, decode: Callable[[Column], Column] | None = None) -> PropertyQuery:
-        self.schema.field(name)
-        return PropertyQuery(self, name, decode)
+    def property(self, name: str, decode: Callable[[Column], Column] | str | None = None, value: Callable | None = None) -> PropertyQuery:
+        """decode: a function of the column, or "enum" for the names of an enum field's values. value: a Python function that
+        ``find_all`` and ``find_first`` apply to each value on the driver."""
+        f = self.schema.field(name)
+        if decode == "enum":
+            if f.kind != "enum":
+                raise QueryError(f"{self.schema.name}.{name} is no enum")
+            names = F.create_map(*[F.lit(x) for label, stored in f.enum for x in (stored, label)])
+            return PropertyQuery(self, name, lambda c: F.element_at(names, c) if f.enum else c, value)
+        return PropertyQuery(self, name, decode, value)
 
     def properties(self, names: Iterable[str]) -> PropertiesQuery:
         names = tuple(names)
@@ -280,8 +297,11 @@ class Collection:
         ids = self.frame().select(self.schema.id)
         return (ids if after is None else ids.where(F.col(self.schema.id) > after)).orderBy(self.schema.id).limit(limit)
 
+    def get_frame(self, id: int) -> DataFrame:
+        return self.frame().where(F.col(self.schema.id) == id).limit(1)
+
     def get(self, id: int) -> Row | None:
-        rows = self.frame().where(F.col(self.schema.id) == id).limit(1).collect()
+        rows = self.get_frame(id).collect()
         return rows[0] if rows else None
 
     def get_all_frame(self, ids: list[int], missing: bool = True) -> DataFrame:
@@ -289,7 +309,11 @@ class Collection:
         df = self.frame()
         asked = df.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "pos int, __id long")
         key = F.col(self.schema.id)
-        found = df.where(key.isin([*{*map(int, ids)}])) if len(ids) <= 1000 else df  # reaches the scan as a filter
+        if len(ids) <= PUSHED_IDS:
+            found = df.where(key.isin([*{*map(int, ids)}]))  # reaches the scan as a filter
+        else:  # the ids came from the driver, so they are few beside the table, which they thin out before anything is shuffled
+            few = asked.select(F.col("__id").alias(self.schema.id)).distinct()
+            found = df.join(F.broadcast(few) if len(ids) <= BROADCAST_IDS else few, self.schema.id, "left_semi")
         return asked.join(found, F.col("__id") == key, "left" if missing else "inner").drop("__id").orderBy("pos")
 
     def get_all(self, ids: list[int]) -> list[Row | None]:

@@ -1,8 +1,8 @@
 """Backup archives: JSON lines of a header, schemas, documents and a footer with count and checksum.
 
 Documents are written by Spark as part files; header and footer are lines of their own. The checksum is a sum
-of 32-bit FNV-1a hashes over the document lines, so it doesn't depend on their order and is computed
-where the lines are. Links are not part of an archive.
+of the CRC-32 of the document lines, so it doesn't depend on their order and is computed where the lines are.
+Times are microseconds at any depth. Links are not part of an archive.
 """
 
 from __future__ import annotations
@@ -17,32 +17,44 @@ from corvella.errors import EngineError
 from corvella.schema import CollectionSchema
 from corvella.sources.store import Database
 
-FORMAT = 1
-
-
-def fnv1a(data: bytes) -> int:
-    h = 0x811C9DC5
-    for b in data:
-        h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
-    return h
+FORMAT = 2
 
 
 def checksum(lines: DataFrame) -> tuple[int, int]:
     """(number of lines, checksum modulo 2**32)."""
+    n, h = lines.agg(F.count(F.lit(1)), F.sum(F.crc32(F.col("value").cast("binary")))).first()
+    return n, (h or 0) % (1 << 32)
 
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(h=[fnv1a(v.encode("utf-8")) for v in pdf["value"]])[["h"]]
 
-    n, h = lines.select("value").mapInPandas(run, "h long").agg(F.count(F.lit(1)), F.sum("h")).first()
-    return n, (h or 0) % (1 << 32)
+def _timed(kind: T.DataType) -> bool:
+    return isinstance(kind, T.TimestampNTZType) or isinstance(kind, T.ArrayType) and _timed(kind.elementType) or isinstance(kind, T.StructType) and any(_timed(f.dataType) for f in kind.fields)
+
+
+def _raw(kind: T.DataType) -> T.DataType:
+    """The type with times as longs."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_raw(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _raw(f.dataType)) for f in kind.fields])
+    return T.LongType() if isinstance(kind, T.TimestampNTZType) else kind
+
+
+def _turned(col, kind: T.DataType, to_micros: bool):
+    """Times to microseconds or back, at any depth; nulls stay."""
+    if not _timed(kind):
+        return col
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: _turned(x, kind.elementType, to_micros))
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[_turned(col[f.name], f.dataType, to_micros).alias(f.name) for f in kind.fields]))
+    return F.unix_micros(col.cast("timestamp")) if to_micros else F.timestamp_micros(col).cast("timestamp_ntz")
 
 
 def _lines(db: Database) -> DataFrame | None:
     out = None
     for name in sorted(db.manifest()["collections"]):
         df = db.frame(name)
-        row = F.to_json(F.struct(*[F.unix_micros(F.col(f.name).cast("timestamp")).alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name) for f in df.schema.fields]), {"ignoreNullFields": "false"})
+        row = F.to_json(F.struct(*[_turned(F.col(f.name), f.dataType, True).alias(f.name) for f in df.schema.fields]), {"ignoreNullFields": "false"})
         part = df.select(F.to_json(F.struct(F.lit("doc").alias("type"), F.lit(name).alias("collection"), row.alias("document"))).alias("value"))
         out = part if out is None else out.union(part)
     return out
@@ -82,10 +94,8 @@ def import_backup(db: Database, path: str) -> int:
         for x in by["schema"]:
             schema = CollectionSchema.from_json(x["schema"])
             db.register(schema)
-            times = {f.name for f in schema.struct().fields if isinstance(f.dataType, T.TimestampNTZType)}
-            raw = T.StructType([T.StructField(f.name, T.LongType() if f.name in times else f.dataType) for f in schema.struct().fields])
-            docs = rows.where(F.col("collection") == schema.name).select(F.from_json("document", raw).alias("d")).select("d.*")
-            for t in times:
-                docs = docs.withColumn(t, F.timestamp_micros(t).cast("timestamp_ntz"))
+            fields = schema.struct().fields
+            docs = rows.where(F.col("collection") == schema.name).select(F.from_json("document", _raw(schema.struct())).alias("d")).select("d.*")
+            docs = docs.select(*[_turned(F.col(f.name), f.dataType, False).alias(f.name) for f in fields])
             db.put_all(schema.name, docs)
     return n

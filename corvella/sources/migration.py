@@ -32,8 +32,9 @@ class Migration:
         return self.db.collection(name).all().ordered()
 
     def import_documents(self, name: str, rows: DataFrame, schema: CollectionSchema | None = None) -> int:
+        """With a schema, ``rows`` take the place of all documents; else they are put on top of them."""
         if schema:
-            self.db.register(schema, migrated=True)
+            self.db.register(schema, migrated=True, clear=True)
         return self.db.put_all(name, rows)
 
 
