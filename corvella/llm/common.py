@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,22 @@ class Memo(dict):
         return value
 
 
+def groups_of(batches, keys: tuple[str, ...]):
+    """The tables of rows with equal keys, which follow each other in the batches; one is held at a time."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        change = np.zeros(max(0, len(table) - 1), bool)
+        for k in keys:
+            change |= np.diff(table.column(k).to_numpy()) != 0
+        cuts = np.flatnonzero(change) + 1
+        for a, b in zip(np.r_[0, cuts[:-1]], cuts):
+            yield table.slice(a, b - a)
+        held = table.slice(cuts[-1] if len(cuts) else 0)  # may go on in the next batch
+    if held is not None and len(held):
+        yield held
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
     sc = spark.sparkContext

@@ -2,11 +2,12 @@
 
 Unit vectors at cosine c lie sqrt(2 - 2c) apart, so the join radius is eps = sqrt(2 - 2 * threshold).
 Vectors are rotated to their principal dimensions, put into grid cells of width eps on the leading ones and
-sorted by cell; runs of that sequence become chunks with a bounding box in all dimensions. Chunks meet by
-an equal-key join on neighbouring cells of the first dimension, less those whose boxes are further apart than
-eps. Within a pair of chunks the sequence intervals are halved recursively, and blocks that are provably
+sorted by cell. The sequence is cut into chunks by its numbers, whatever partitions it is in, each with a bounding box in all
+dimensions. Chunks meet by an equal-key join on neighbouring cells of the first two dimensions, less those whose boxes are
+further apart than eps, and the pairs are dealt in blocks, so that a chunk is sent once for a block of pairs.
+Within a pair of chunks the sequence intervals are halved recursively, and blocks that are provably
 distant are skipped; what is left is multiplied in single precision and decided in double precision on
-the vectors as given.
+the vectors as given. Where that is within 1e-12 of the threshold, the exact cosine decides, rounded once to a double.
 
 Equal vectors are one class before the join and count by their number, so a group of copies costs one row.
 Links between different vectors are counted inside a block and never written out; each block gives a
@@ -19,17 +20,22 @@ left out; extra columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvella.llm.common import Scratch, components
+from corvella.llm.common import Scratch, components, groups_of
 
-CHUNK = 4096
+#: Numbers that a chunk's vectors hold together, about.
+CHUNK = 1 << 18
 LEAF = 512
 CELL_DIMS = 6
+#: A side of a block of pairs has so many chunks at most; with few chunks fewer, so that there are some hundred blocks.
+SIDE = 16
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -84,6 +90,14 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[keep]], nodes[keep]
 
 
+def _reaches(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether the exact cosine, rounded once to a double, is at least the threshold."""
+    a, b = ([Fraction(v) for v in z.tolist()] for z in (x, y))
+    dot = sum(p * q for p, q in zip(a, b))
+    least = (Fraction(threshold) + Fraction(math.nextafter(threshold, 0))) / 2
+    return dot > 0 and dot * dot >= least * least * sum(p * p for p in a) * sum(q * q for q in b)
+
+
 def join_blocks(x, y, same: bool, rotation: np.ndarray, threshold: float):
     """Yields (i, j): the linked pairs of each leaf block of two sequences; for ``same`` only i < j."""
     eps2 = 2 - 2 * threshold + 1e-9
@@ -111,7 +125,10 @@ def join_blocks(x, y, same: bool, rotation: np.ndarray, threshold: float):
             i, j = np.nonzero(near)
             for s in range(0, len(i), 1 << 15):
                 p, q = i[s : s + (1 << 15)] + i0, j[s : s + (1 << 15)] + j0
-                ok = np.einsum("ij,ij->i", ux[p], uy[q]) >= threshold - 1e-15
+                cosine = np.einsum("ij,ij->i", ux[p], uy[q])
+                ok = cosine >= threshold
+                for k in np.flatnonzero(np.abs(cosine - threshold) < 1e-12):
+                    ok[k] = _reaches(x[p[k]], y[q[k]], threshold)
                 yield p[ok], q[ok]
             return
         halves = lambda lo, hi: [(lo, hi)] if hi - lo == 1 else [(lo, (lo + hi) // 2), ((lo + hi) // 2, hi)]
@@ -150,68 +167,78 @@ def ego_join(vectors: DataFrame, threshold: float = 0.9, chunk: int = CHUNK) ->
 
     names = [f"c{i}" for i in range(CELL_DIMS)]
     placed = classes.select("rep", "copies", "dim", "vec").mapInArrow(cells, f"rep long, copies long, dim int, vec array<{kind}>, " + ", ".join(f"{n} int" for n in names))
-    ordered = placed.repartitionByRange("dim", *names, "rep").sortWithinPartitions("dim", *names, "rep")
+    ordered = placed.repartitionByRange("dim", *names, "rep").sortWithinPartitions("dim", *names, "rep").withColumn("at", F.monotonically_increasing_id())
+    ordered = scratch.table("ordered", ordered)
+    # chunks by the number in the whole sequence; the driver gets a row for each partition and vector length
+    part = F.shiftright("at", 33)
+    runs = ordered.groupBy("dim", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).orderBy("dim", "part").collect()
+    starts, base, done, before = [], 0, 0, None
+    for r in runs:
+        if r["dim"] != before:
+            base, done, before = base - -done // max(1, chunk // before) if before else 0, 0, r["dim"]
+        starts.append((r["dim"], r["part"], base, done - r["first"]))
+        done += r["n"]
+    count = base - -done // max(1, chunk // before) if before else 0
+    side = max(1, min(SIDE, count // 16))
+    starts = F.broadcast(spark.createDataFrame(starts, "dim int, part long, base long, shift long"))
+    cut = (F.col("base") + F.floor((F.col("at") + F.col("shift")) / F.greatest(F.lit(1), F.floor(F.lit(chunk) / F.col("dim"))))).cast("long")
+    numbered = ordered.withColumn("part", part).join(starts, ["dim", "part"]).select("rep", "copies", "dim", "vec", "c0", "c1", "at", cut.alias("chunk"))
 
     def pack(batches):
-        part, held, count = TaskContext.get().partitionId(), {}, 0
-
-        def row(d, ids, copies, x, cell):
-            nonlocal count
+        for table in groups_of(batches, ("chunk",)):
+            table = table.combine_chunks()
+            d, x = table.column("dim")[0].as_py(), _matrix(table.column("vec").combine_chunks()).astype(width)
             p = _unit(x.astype(np.float64)) @ bases[d]
-            count += 1
-            values = [part * (1 << 32) + count, int(d), int(cell.min()), int(cell.max()), p.min(0), p.max(0), ids.tobytes(), copies.tobytes(), x.tobytes()]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["chunk", "dim", "low", "high", "lo", "hi", "ids", "copies", "data"])
+            cells = [table.column(c).to_numpy() for c in ("c0", "c1")]
+            values = [table.column("chunk")[0].as_py(), d, *[int(f(c)) for c in cells for f in (np.min, np.max)], p.min(0), p.max(0), table.column("rep").to_numpy().tobytes(), table.column("copies").to_numpy().tobytes(), x.tobytes()]
+            kinds = [pa.int64(), *[pa.int32()] * 5, pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["chunk", "dim", "low0", "high0", "low1", "high1", "lo", "hi", "ids", "copies", "data"])
+
+    packed = numbered.repartition("chunk").sortWithinPartitions("chunk", "at").mapInArrow(pack, "chunk long, dim int, low0 int, high0 int, low1 int, high1 int, lo array<double>, hi array<double>, ids binary, copies binary, data binary")
+    chunks = scratch.table("chunks", packed)
+    meta = chunks.select("chunk", "dim", "low0", "high0", "low1", "high1", "lo", "hi")
+
+    def in_cells(name: str, reach: int) -> DataFrame:
+        out = meta.select(F.col("chunk").alias(name), "dim", F.explode(F.sequence(F.col("low0") - reach, F.col("high0") + reach)).alias("x"), "low1", "high1", F.col("lo").alias(f"{name}lo"), F.col("hi").alias(f"{name}hi"))
+        return out.select(name, "dim", "x", F.explode(F.sequence(F.col("low1") - reach, F.col("high1") + reach)).alias("y"), f"{name}lo", f"{name}hi")
 
-        for batch in batches:
-            dims = batch.column(2).to_numpy()
-            for d in np.unique(dims):
-                at = pa.array(dims == d)
-                new = [batch.column(0).filter(at).to_numpy(), batch.column(1).filter(at).to_numpy(), _matrix(batch.column(3).filter(at)).astype(width), batch.column(4).filter(at).to_numpy()]
-                old = held.pop(d, None)
-                new = [np.concatenate(z) for z in zip(old, new)] if old else new
-                while len(new[0]) >= chunk:
-                    yield row(d, *[z[:chunk] for z in new])
-                    new = [z[chunk:] for z in new]
-                held[d] = new
-        for d, rest in held.items():
-            if len(rest[0]):
-                yield row(d, *rest)
-
-    chunks = scratch.table("chunks", ordered.mapInArrow(pack, "chunk long, dim int, low int, high int, lo array<double>, hi array<double>, ids binary, copies binary, data binary"))
-    meta = chunks.select("chunk", "dim", "low", "high", "lo", "hi")
-    left = meta.select(F.col("chunk").alias("a"), "dim", F.explode(F.sequence("low", "high")).alias("cell"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    right = meta.select(F.col("chunk").alias("b"), "dim", F.explode(F.sequence(F.col("low") - 1, F.col("high") + 1)).alias("cell"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
     gap = F.expr("aggregate(zip_with(zip_with(alo, bhi, (p, q) -> p - q), zip_with(blo, ahi, (p, q) -> p - q), (p, q) -> greatest(0d, p, q)), 0d, (s, g) -> s + g * g)")
-    pairs = left.join(right, ["dim", "cell"]).where("a <= b").where(gap <= eps * eps + 1e-9).select("a", "b", "dim").distinct()
-    pairs = scratch.table("pairs", pairs)
+    pairs = in_cells("a", 0).join(in_cells("b", 1), ["dim", "x", "y"]).where("a <= b").where(gap <= eps * eps + 1e-9).select("a", "b").distinct()
+    block = lambda c: F.floor(F.col(c) / side).cast("long")
+    pairs = scratch.table("pairs", pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b"))
 
     def matched(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b, d = (batch.column(i)[k].as_py() for i in range(3))
-                ids, copies, data = ([np.frombuffer(batch.column(i + j)[k].as_py(), t) for j in (0, 3)] for i, t in ((3, np.int64), (4, np.int64), (5, width)))
-                x, y = (z.reshape(-1, d).astype(np.float64) for z in data)
-                n = [np.zeros(len(z), np.int64) for z in ids]
-                ea, eb = [], []
-                for i, j in join_blocks(x, y, a == b, bases[d], threshold):
-                    np.add.at(n[0], i, copies[1][j])
-                    np.add.at(n[0] if a == b else n[1], j, copies[0][i])
-                    u, v = _forest(ids[0][i], ids[1][j])
+        empty = np.zeros(0, np.int64)
+        for table in groups_of(batches, ("i", "j")):
+            held, wanted = {}, []
+            for r in table.select(["a", "b", "dim", "ids", "copies", "data"]).to_pylist():
+                if r["data"] is None:
+                    wanted.append((r["a"], r["b"]))
+                else:
+                    held[r["a"]] = r["dim"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64), np.frombuffer(r["data"], width).reshape(-1, r["dim"])
+            links = {k: np.zeros(len(v[1]), np.int64) for k, v in held.items()}
+            ea, eb = [], []
+            for a, b in sorted(wanted):
+                (d, ids_a, copies_a, x), (_, ids_b, copies_b, y) = held[a], held[b]
+                for i, j in join_blocks(x.astype(np.float64), y.astype(np.float64), a == b, bases[d], threshold):
+                    np.add.at(links[a], i, copies_b[j])
+                    np.add.at(links[b], j, copies_a[i])
+                    u, v = _forest(ids_a[i], ids_b[j])
                     ea.append(u)
                     eb.append(v)
-                empty = np.zeros(0, np.int64)
-                u, v = _forest(np.concatenate([empty, *ea]), np.concatenate([empty, *eb]))
-                sums = [(z[m > 0], m[m > 0]) for z, m in zip(ids, n)]
-                first = np.concatenate([u, *[z for z, _ in sums]])
-                second = np.concatenate([v, *[np.zeros(len(z), np.int64) for z, _ in sums]])
-                links = np.concatenate([np.zeros(len(u), np.int64), *[m for _, m in sums]])
-                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(links)], names=["a", "b", "links"])
-
-    data = chunks.select("chunk", "ids", "copies", "data")
-    one = data.select(F.col("chunk").alias("a"), F.col("ids").alias("ids_a"), F.col("copies").alias("copies_a"), F.col("data").alias("data_a"))
-    two = data.select(F.col("chunk").alias("b"), F.col("ids").alias("ids_b"), F.col("copies").alias("copies_b"), F.col("data").alias("data_b"))
-    both = pairs.join(one.hint("shuffle_merge"), "a").join(two.hint("shuffle_merge"), "b").select("a", "b", "dim", "ids_a", "copies_a", "data_a", "ids_b", "copies_b", "data_b")
+            u, v = _forest(np.concatenate([empty, *ea]), np.concatenate([empty, *eb]))
+            sums = [(held[k][1][m > 0], m[m > 0]) for k, m in links.items()]
+            first = np.concatenate([u, *[z for z, _ in sums]])
+            second = np.concatenate([v, *[np.zeros(len(z), np.int64) for z, _ in sums]])
+            counts = np.concatenate([np.zeros(len(u), np.int64), *[m for _, m in sums]])
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(counts)], names=["a", "b", "links"])
+
+    # each block gets its pairs and, once each, the chunks that they name
+    no = lambda kind: F.lit(None).cast(kind)
+    asked = pairs.select("i", "j", F.explode(F.array("a", "b")).alias("chunk")).distinct()
+    sent = asked.join(chunks.select("chunk", "dim", "ids", "copies", "data"), "chunk").select("i", "j", F.col("chunk").alias("a"), no("long").alias("b"), "dim", "ids", "copies", "data")
+    both = sent.union(pairs.select("i", "j", "a", "b", no("int").alias("dim"), no("binary").alias("ids"), no("binary").alias("copies"), no("binary").alias("data")))
+    both = both.repartition("i", "j").sortWithinPartitions("i", "j")
     found = scratch.table("found", both.mapInArrow(matched, "a long, b long, links long"))
     labels = components(spark, found.where("links = 0").select("a", "b"))
     counts = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("links"))

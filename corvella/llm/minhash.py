@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvella.llm.common import Memo, Scratch, components, id_join
+from corvella.llm.common import Memo, Scratch, components, groups_of, id_join
 
 #: Retained values that make the inverted lists.
 K = 48
@@ -165,16 +165,8 @@ def compare_cells(rows: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x.min(1)), pa.array(x.max(1))], names=["a", "b"])
 
     def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = [table.column(c).to_numpy() for c in ("host", "i", "j")]
-            cuts = np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0) | (np.diff(keys[2]) != 0)) + 1
-            for a, b in zip(np.r_[0, cuts[:-1]], cuts):
-                yield one(table.slice(a, b - a))
-            held = table.slice(cuts[-1] if len(cuts) else 0)  # the last cell may go on in the next batch
-        if held is not None and len(held):
-            yield one(held)
+        for table in groups_of(batches, ("host", "i", "j")):
+            yield one(table)
 
     dealt = rows.select("host", "i", "j", "u", "cls", "label", "items").repartition("host", "i", "j").sortWithinPartitions("host", "i", "j")
     return dealt.mapInArrow(run, "a long, b long")

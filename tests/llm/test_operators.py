@@ -1,9 +1,11 @@
 """Each operator against a brute-force version or an exact round trip, and its edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from decimal import Decimal, localcontext
 from itertools import combinations
 
 import numpy as np
@@ -105,7 +107,7 @@ def test_ego_join_brute(spark):
     x[200:230] = x[0]
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [0.0] * 12), (903, [float("nan")] * 12), (904, [None] + [1.0] * 11), (905, [float("inf")] + [0.0] * 11), (906, [1.0, 0.0]), (907, [2.0, 0.0]), (7, x[7].astype(np.float32).tolist()), (None, [1.0] * 12)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, n_links int")
-    got = table(embed_join.ego_join(df, 0.9, chunk=64), "vec_id")
+    got = table(embed_join.ego_join(df, 0.9, chunk=12 * 25), "vec_id")
     v = {i: np.array(e, float) for i, e in rows if i is not None and e and None not in e and np.isfinite(np.array(e, float)).all() and any(e)}
     links = [(a, b) for a, b in combinations(v, 2) if len(v[a]) == len(v[b]) and v[a] @ v[b] / np.sqrt(v[a] @ v[a] * (v[b] @ v[b])) >= 0.9]
     ids = {i for i, _ in rows if i is not None}
@@ -114,6 +116,24 @@ def test_ego_join_brute(spark):
     assert len(links) > 400 and embed_join.ego_join(df.limit(0)).count() == 0
 
 
+def test_ego_join_at_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    base = [3.0, 4.0, 0.0, 12.0]  # length 13
+    near = [[9.0, 0.0, 0.0, math.sqrt(19.0)], [9.0, math.sqrt(19.0), 0.0, 0.0], [0.9, 0.0, 0.0, math.sqrt(0.19)], [math.nextafter(0.9, 0), 0.0, 0.0, math.sqrt(0.19)]]
+    x = [[1.0, 0.0, 0.0, 0.0], base, *near, *(rng.normal(size=(40, 4)) * 1e-3 + [1, 0, 0.4843, 0]).tolist()]
+    got = table(embed_join.ego_join(spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 0.9, chunk=40), "vec_id")
+
+    def cosine(a, b):  # to 60 digits, then rounded once
+        with localcontext(prec=60):
+            a, b = [Decimal(v) for v in a], [Decimal(v) for v in b]
+            dot = lambda p, q: sum(s * t for s, t in zip(p, q))
+            return float(dot(a, b) / (dot(a, a) * dot(b, b)).sqrt())
+
+    links = [(a, b) for a, b in combinations(range(len(x)), 2) if cosine(x[a], x[b]) >= 0.9]
+    assert {i: r["n_links"] for i, r in got.items()} == {i: sum(i in e for e in links) for i in range(len(x))}
+    assert embed_join._reaches(np.array(x[0]), np.array(x[2]), 0.9) == (cosine(x[0], x[2]) >= 0.9)
+
+
 # lines
 
 def brute_lines(rows, least=10):
