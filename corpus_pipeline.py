@@ -1,9 +1,14 @@
 """The corpus pipeline: five stages over ``documents``, each one operator, each written before the next.
 
-toxicity drops documents that the ordinal model rejects; line dedup takes repeated lines out of texts;
-near-dedup keeps the smallest doc_id of each group of near duplicates; decontamination drops documents that
-hold a benchmark item; the last stage encodes and decodes what is left. All but the last return the columns
+toxicity drops documents that the ordinal model rejects; line dedup takes repeated lines out of texts and drops documents
+that have nothing else; near-dedup keeps the smallest doc_id of each group of near duplicates; decontamination drops documents
+that hold a benchmark item; the last stage encodes and decodes what is left. All but the last return the columns
 of ``documents``; n_chars follows the text.
+
+Cases, in every stage: null and empty texts are clean and stay (the last stage gives them 0 tokens); rows that share a
+doc_id are judged each by toxicity and share their fate in the others; a row without doc_id loses no line and is in no group,
+but goes if it is toxic or holds a benchmark item; repeated rows without doc_id all stay; extra columns go; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.dedupe_lines(docs, keep=("doc_id", "lang", "source"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    emptied = (F.col("n_dropped") > 0) & F.col("text").rlike(r"^[\x20\x09-\x0D]*$")
+    return out.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +40,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    # rows without an id are told by a hash of their text: equal texts hold the same items
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    found = decontaminate.matches(keyed.select(F.col("__key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keyed.join(found.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The test items are the small side. They are taken in blocks of ``BLOCK`` items, so the driver and each worker
-hold one block's vocabulary and n-grams at a time, whatever the number of items. For a block:
+The test items are the small side. They are taken in blocks of about ``BLOCK_WORDS`` words, so the driver and each worker
+hold one block's vocabulary and n-grams at a time, whatever the number of items; a block is two passes over the texts.
+For a block:
 
 1. One pass over the texts counts in how many documents each item n-gram occurs (sums per task, then a
    shuffle of n-gram numbers only).
 2. Every n-gram of an item that some document holds is a seed, so any copied run of N words holds one.
 3. A second pass finds seeds in the texts. Near hits of one item with at least ``min_seeds`` different seeds
-   (or all it has) make a candidate window, and the alignment's score against that of the item with
-   itself decides. A window that shares too few words with the item to reach the score is not aligned.
+   (or all it has; one for items of fewer than ``SHORT`` words) make a candidate window, and the alignment's score against
+   that of the item with itself decides. A window that shares too few words with the item to reach the score is not
+   aligned; one of more than ``CELLS`` cells is aligned within a band around the diagonals of its hits.
 
 Words are lower case without punctuation. Cases: null or empty texts match nothing; items of fewer than N
 words are compared by all their words in a row; repeated rows give repeated rows; a null doc_id is kept as
-such; equal items each give a row; empty tables give an empty table; extra columns are ignored.
+such; a null item_id is left out; equal rows of items count once; empty tables give an empty table; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 from corvella.llm.wordseq import Numberer, align, grams, words_of
 
 N = 3
-BLOCK = 5_000
+BLOCK_WORDS = 1_000_000
+SHORT = 12
+CELLS = 1 << 22
 
 
 class _Items:
@@ -82,28 +87,43 @@ def _seeds(it: _Items, counts: dict[int, np.ndarray]) -> dict[int, tuple[np.ndar
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, min_seeds: int = 2, block: int = BLOCK) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, min_score: float = 0.5, min_seeds: int = 2, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score, matched, n_words, start_word, end_word): the best alignment of each contaminated pair."""
     schema = "doc_id long, item_id long, score double, matched long, n_words long, start_word long, end_word long"
     spark, out, last = docs.sparkSession, None, None
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
+    mean = items.agg(F.avg(F.length("text"))).first()[0] or 1
+    block = max(1, int(block_words * 6 / mean))  # items of about so many words
     while True:
-        rows = (items if last is None else items.where(F.col("item_id") > last)).orderBy("item_id", "text").limit(block).collect()
+        # by (item_id, text), so that items which share an id don't have to come together
+        more = items if last is None else items.where((F.col("item_id") > last[0]) | (F.col("item_id") == last[0]) & (F.col("text") > F.lit(last[1])))
+        rows = more.orderBy("item_id", "text").limit(block).collect()
         if not rows:
             break
-        if len(rows) == block:  # whole ids only, so that the next block can begin behind the last
-            last = rows[-1].item_id
-            rows = [r for r in rows if r.item_id < last] + items.where(F.col("item_id") == last).collect()
+        last = rows[-1].item_id, rows[-1].text
         it = _Items(rows)
         if it.items:
             found = _block(docs, it, min_score, min_seeds, schema)
             out = found if out is None else out.union(found)
         if len(rows) < block:
             break
-        last = rows[-1].item_id
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def _bands(diagonals: np.ndarray, n: int, m: int) -> list[tuple[int, int] | None]:
+    """The bands to align in: none for a small table, else around the hits, in overlapping pieces of CELLS cells."""
+    if n * m <= CELLS:
+        return [None]
+    slack = max(8, n // 16)
+    width, d = max(4 * slack, CELLS // n), np.unique(diagonals)
+    out, k = [], 0
+    while k < len(d):
+        low = int(d[k]) - slack
+        out.append((low, min(low + width, int(d[-1]) + slack)))
+        k = max(k + 1, int(np.searchsorted(d, low + width - 2 * slack)))
+    return out
+
+
 def _block(docs: DataFrame, it: _Items, min_score: float, min_seeds: int, schema: str) -> DataFrame:
     seeds = _seeds(it, _counts(docs, it))
     vocab, base, words, names = it.vocab, it.base, it.ids, [i for i, _ in it.items]
@@ -111,7 +131,7 @@ def _block(docs: DataFrame, it: _Items, min_score: float, min_seeds: int, schema
     for keys, cuts, item, _ in seeds.values():
         pairs = np.unique(np.stack([item, np.repeat(np.arange(len(keys)), np.diff(cuts))]), axis=1)
         need += np.bincount(pairs[0], minlength=len(words))
-    need = np.minimum(need, min_seeds)
+    need = np.minimum(need, np.where([len(x) < SHORT for x in words], 1, min_seeds))
     bags = [np.unique(x, return_counts=True) for x in words]
 
     def shared(ids: np.ndarray, bag: tuple[np.ndarray, np.ndarray]) -> int:
@@ -134,9 +154,10 @@ def _block(docs: DataFrame, it: _Items, min_score: float, min_seeds: int, schema
                     most = 2 * shared(ids[s:e], bags[k])
                     if most < min_score * 2 * len(item) or top and most <= top[0]:
                         continue  # no alignment here can decide
-                    score, n, _, _, j, end = align(item, ids[s:e])
-                    if top is None or score > top[0]:
-                        top = (score, n, s + j, s + end)
+                    for band in _bands(begin[(begin > s - len(item)) & (begin < e)] - s, len(item), len(ids[s:e])):
+                        score, n, _, _, j, end = align(item, ids[s:e], band)
+                        if top is None or score > top[0]:
+                            top = (score, n, s + j, s + end)
         return top
 
     def run(batches):

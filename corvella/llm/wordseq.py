@@ -48,31 +48,38 @@ def grams(ids: np.ndarray, n: int, base: int) -> np.ndarray:
 def align(a: np.ndarray, b: np.ndarray, band: tuple[int, int] | None = None, match: int = 2, differ: int = -1, gap: int = -1) -> tuple[int, int, int, int, int, int]:
     """Smith-Waterman alignment: (score, matches, a_start, a_end, b_start, b_end), ends exclusive.
 
-    band: (low, high) bounds of j - i, beyond which cells stay empty.
+    band: (low, high) bounds of j - i; only cells within are made, so time and memory are len(a) times its width.
     """
     n, m = len(a), len(b)
-    h = np.zeros((n + 1, m + 1), np.int32)
-    steps = gap * np.arange(m + 1, dtype=np.int32)
-    at = np.arange(1, m + 1)
+    low, high = band or (-n, m)
+    low, high = max(low, -n), min(high, m)
+    if low > high or not n or not m:
+        return 0, 0, 0, 0, 0, 0
+    # h[i, d]: the best score that ends at the first i and i + low + d words; a column at either side stays empty
+    width = high - low + 1
+    h = np.zeros((n + 1, width + 2), np.int32)
+    steps = gap * np.arange(width, dtype=np.int32)
+    held = np.zeros(width + n + 1, b.dtype)  # held[i + d] is the word of b that ends there, 0 beyond b
+    k = np.arange(low, low + len(held))
+    inside = (k >= 1) & (k <= m)
+    held[inside] = b[k[inside] - 1]
     for i in range(1, n + 1):
-        row = np.maximum(h[i - 1, :-1] + np.where((b == a[i - 1]) & (b > 0), match, differ), h[i - 1, 1:] + gap)
-        row = np.maximum(row, 0)
-        if band:
-            row[(at - i < band[0]) | (at - i > band[1])] = 0
-        full = np.r_[np.int32(0), row]
-        full = np.maximum.accumulate(full - steps) + steps  # gaps along b
-        if band:
-            full[1:][(at - i < band[0]) | (at - i > band[1])] = 0
-        h[i] = full
-    i, j = np.unravel_index(np.argmax(h), h.shape)
-    score, i_end, j_end, hits = int(h[i, j]), int(i), int(j), 0
-    while i and j and h[i, j] > 0:
+        word, real = held[i : i + width], inside[i : i + width]
+        row = np.maximum(h[i - 1, 1:-1] + np.where((word == a[i - 1]) & (word > 0), match, differ), h[i - 1, 2:] + gap)
+        row = np.where(real, np.maximum(row, 0), 0)
+        row = np.maximum.accumulate(row - steps) + steps  # gaps along b
+        h[i, 1:-1] = np.where(real, row, 0)
+    i, d = np.unravel_index(np.argmax(h), h.shape)
+    i, j = int(i), int(i + low + d - 1)
+    score, i_end, j_end, hits = int(h[i, d]), i, j, 0
+    at = lambda i, j: h[i, j - i - low + 1] if low <= j - i <= high else 0
+    while i and j and at(i, j) > 0:
         same = b[j - 1] == a[i - 1] and b[j - 1] > 0
-        if h[i, j] == h[i - 1, j - 1] + (match if same else differ):
+        if at(i, j) == at(i - 1, j - 1) + (match if same else differ):
             hits += bool(same)
             i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + gap:
+        elif j - i < high and at(i, j) == at(i - 1, j) + gap:
             i -= 1
         else:
             j -= 1
-    return score, hits, int(i), i_end, int(j), j_end
+    return score, hits, i, i_end, j, j_end

@@ -378,6 +378,15 @@ def test_alignment_brute():
             for j in range(1, len(b) + 1):
                 h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
         assert align(a, b)[0] == h.max()
+        # within a band: cells outside it stay empty
+        low, high = sorted(rng.integers(-6, 7, 2).tolist())
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                if low <= j - i <= high:
+                    h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+        score, hits, i, i_end, j, j_end = align(a, b, (low, high))
+        assert score == h.max() and 2 * hits >= score and i_end - i >= hits <= j_end - j
 
 
 def test_decontamination(spark):
@@ -389,8 +398,8 @@ def test_decontamination(spark):
     rows = [(1, text(50) + items[0] + text(50)), (2, text(20) + edited), (3, text(400)), (4, items[2][:8]), (5, text(9) + ["Only,", "TWO!"]), (6, items[0] * 40)]
     df = docs_frame(spark, [*[(i, " ".join(w)) for i, w in rows], (7, None), (8, "")])
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(50, None)], "item_id long, text string")
-    for block in (100, 3):
-        got = sorted((r.doc_id, r.item_id) for r in decontaminate.matches(df, bench, block=block).collect())
+    for block in (decontaminate.BLOCK_WORDS, 80):
+        got = sorted((r.doc_id, r.item_id) for r in decontaminate.matches(df, bench, block_words=block).collect())
         assert got == [(1, 0), (2, 1), (5, 6), (6, 0)]
     r = decontaminate.matches(df, bench).where("doc_id = 1").first()
     assert (r.score, r.start_word, r.end_word) == (1.0, 50, 80)
@@ -410,6 +419,39 @@ def test_decontamination_finds_evenly_edited_copies(spark):
         assert got == {i for i, _ in rows} - {200}
 
 
+def test_decontamination_brute(spark):
+    """The query against whole alignments of every document with every item, edited copies in all degrees."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(900)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = {i: text(rng.choice([5, 9, 20, 40, 70])) for i in range(14)}
+    rows = {}
+    for i in range(150):
+        rate, item = rng.choice([0, 0.05, 0.1, 0.15, 0.2, 0.25]), items[i % 14]
+        copy = []
+        for w in item:
+            kind = rng.random()
+            copy += [w] if kind >= rate else rng.choice([[], [rng.choice(words)], [w, rng.choice(words)]])
+        rows[i] = text(rng.randint(0, 60)) + (copy if i < 120 else []) + text(rng.randint(0, 60))
+    number = {w: k + 1 for k, w in enumerate(words)}
+    ids = lambda ws: np.array([number[w] for w in ws], np.int64)
+    expected = {(d, i) for d, t in rows.items() for i, it in items.items() if len(t) and align(ids(it), ids(t))[0] >= len(it)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs_frame(spark, [(i, " ".join(w)) for i, w in rows.items()]), bench).collect()}
+    planted = {(d, d % 14) for d in range(120)} & expected
+    assert got <= expected and len(got & planted) >= 0.97 * len(planted) > 100
+
+
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(32)
+    words = [f"w{i}" for i in range(3000)]
+    item = [rng.choice(words) for _ in range(20_000)]
+    edited = [w for k, w in enumerate(item) if k % 9]
+    df = docs_frame(spark, [(1, " ".join(item[:100] + edited)), (2, " ".join(rng.choice(words) for _ in range(30_000)))])
+    got = decontaminate.matches(df, spark.createDataFrame([(5, " ".join(item)), (None, "x"), (6, None)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 5)] and got[0].score > 0.8
+
+
 # tokens
 
 def test_bpe_matches_library(spark):

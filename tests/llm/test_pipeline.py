@@ -22,7 +22,9 @@ def folder(spark, tmp_path):
     rows[102] = text(40) + " " + item + " " + text(40)
     rows[103], rows[104] = text(50) + "\na line of its own here", text(50) + "\nA line of its own here"
     rows[105] = None
-    docs = [(i, t, "en", "s", len(t or "")) for i, t in rows.items()]
+    rows[106] = "A LINE of its own here"  # nothing else: line dedup empties it
+    rows[107] = ""
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in rows.items()] + [(None, t, "en", "s", 1) for t in ("no id", "no id", text(9) + " " + item, None)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -32,14 +34,24 @@ def folder(spark, tmp_path):
 def test_stages(spark, folder):
     path, clean, rows = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
-    seen = []
+    seen, nameless = [], []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, path)
         assert tuple(docs.columns) == corpus_pipeline.COLUMNS
-        seen.append({r.doc_id: r.text for r in docs.collect()})
-    assert set(seen[0]) == clean
+        got = docs.collect()
+        seen.append({r.doc_id: r.text for r in got if r.doc_id is not None})
+        nameless.append(sorted(r.text or "" for r in got if r.doc_id is None))
+    assert set(seen[0]) == clean and len(nameless[2]) == 4 and nameless[3] == ["", "no id", "no id"]
+    # equal lines go: 100 and 106 have nothing else, 105 and 107 were empty before
+    clean = clean - {100, 106}
     assert seen[1][103].endswith("own here") and seen[1][104] == rows[104].split("\n")[0] and set(seen[1]) == clean
-    # equal lines went in the stage before, so 100 is empty and a group of its own
     assert set(seen[2]) == clean - {101} and set(seen[3]) == clean - {101, 102}
     out = corpus_pipeline.run(spark, path)
-    assert {r.doc_id for r in out.collect()} == set(seen[3])
+    assert {r.doc_id for r in out.collect()} == {*seen[3], None} and out.count() == len(seen[3]) + 3
+
+
+def test_stages_of_empty_tables(spark, folder, tmp_path):
+    path, _, _ = folder
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
