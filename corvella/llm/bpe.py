@@ -8,6 +8,9 @@ heap over them, since a repeated scan is quadratic; both give the leftmost small
 The vocabulary file is a parameter (``path``). It is read from the worker's own installation, never
 shipped or copied.
 
+Texts are normalised and split by Python's tables of Unicode. A text with a code point that these don't know yet, but newer
+ones may, is normalised and split by the library itself; its words are merged like all others.
+
 Cases: null text counts as empty (0 tokens, empty text); strings of special tokens inside a text become
 those special ids, as the vocabulary's own encoder does; extra columns are ignored; repeated rows give
 repeated rows; an empty table gives an empty table.
@@ -110,6 +113,7 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.spaces = regex.compile(r"\s+")
+        self.path, self.library, self.assigned = path, None, set()
         self.text_of = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.words = Memo(self._word)
         self.chunks = Memo(self._chunk)
@@ -118,13 +122,32 @@ class WordBpe:
         self.words.clear()
         self.chunks.clear()
 
-    def _word(self, word: str) -> list[int]:
-        symbols = [self.symbols[b] for b in word.encode("utf-8")]
+    def _merged(self, symbols: list[str]) -> list[int]:
         symbols[-1] += self.suffix
         # symbols without an id are skipped, since the vocabulary has no unknown token
         parts = [i for s in symbols if (i := self.vocab.get(s)) is not None]
         return (merge_scan if len(parts) <= LONG_WORD else merge_heap)(parts, self.rank_of)
 
+    def _word(self, word: str) -> list[int]:
+        return self._merged([self.symbols[b] for b in word.encode("utf-8")])
+
+    def _known(self, text: str) -> bool:
+        """Whether Python's tables have all code points of the text."""
+        new = set(text) - self.assigned
+        if any(unicodedata.category(c) == "Cn" for c in new):
+            return False
+        self.assigned |= new
+        return True
+
+    def _by_library(self, text: str) -> tuple[bytes, str]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        ids = [i for piece, _ in pieces for i in self._merged([*piece])]
+        return np.array(ids, dtype="<u4").tobytes(), " ".join(map(self.text_of.__getitem__, ids))
+
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
         """Of a run without white space: its ids as little-endian 32-bit integers, and their text."""
         ids = [i for w in self.pieces.findall(chunk) for i in self.words[w]]
@@ -133,6 +156,8 @@ class WordBpe:
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
         if text.isascii():
             text = text.lower()
+        elif not self._known(text):
+            return [self._by_library(text)]
         else:
             text = self.spaces.sub(" ", unicodedata.normalize("NFC", text))
             text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()

@@ -76,12 +76,22 @@ class CuckooFilter:
         """Removes one fingerprint for each key; only keys that were inserted may be given. Returns how many went."""
         fp, at = self._places(h1, h2)
         gone = 0
-        for f, i, j in zip(fp, at, self._other(at, fp)):
-            for bucket in (i, j):
-                if len(k := np.flatnonzero(self.table[bucket] == f)):
-                    self.table[bucket, k[0]] = 0
-                    gone += 1
-                    break
+        for turn in range(2 * SLOTS + 2):  # keys of one bucket and fingerprint go one at a turn
+            if not len(fp):
+                break
+            other = self._other(at, fp)
+            here = (self.table[at] == fp[:, None]).any(1)
+            bucket = np.where(here, at, other)
+            hit = self.table[bucket] == fp[:, None]
+            slot = bucket * SLOTS + hit.argmax(1)
+            found = hit.any(1)
+            _, first = np.unique(np.where(found, slot, -1 - np.arange(len(slot))), return_index=True)
+            first = first[found[first]]
+            self.table.reshape(-1)[slot[first]] = 0
+            gone += len(first)
+            rest = found.copy()
+            rest[first] = False
+            fp, at = fp[rest], at[rest]
         return gone
 
     def to_bytes(self) -> bytes:

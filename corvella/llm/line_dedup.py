@@ -6,8 +6,10 @@ State of an index, all of it DataFrames:
 * ``refs`` (h1, h2, refs, owner, last): the exact reference counts, with the smallest and largest holder.
 * ``filters`` (shard, blob): one cuckoo filter for each shard of the keys that more than one document holds.
 
-``build`` makes it, ``insert`` and ``delete`` give a new index with documents added or taken away, and
-``apply`` removes lines from texts: the filter of a line's shard discards lines that occur once without
+``build`` makes it, ``insert`` and ``delete`` give a new index with documents added or taken away: only keys that those
+documents hold are counted again, and keys that became or are no longer repeated are put into or taken out of the filters of
+their shards; other filters stay as they are. A filter that gets too full is built again from its shard's exact keys, and
+all are, with more shards, once the keys outgrow them by ``GROWTH``. ``apply`` removes lines from texts: the filter of a line's shard discards lines that occur once without
 touching the exact table; what passes is decided by the exact table, so false positives change nothing.
 
 A key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased; keys under
@@ -37,6 +39,7 @@ from corvella.llm.cuckoo import CuckooFilter
 
 SPACE = b" \t\n\x0b\x0c\r"
 KEYS_PER_SHARD = 400_000
+GROWTH = 4
 SALTS = 16
 
 
@@ -106,14 +109,41 @@ def probe(postings: DataFrame, filters: DataFrame, shards: int, salts: int = SAL
     return dealt.mapInArrow(run, "doc_id long, h1 long, h2 long")
 
 
+def update_filters(filters: DataFrame, changes: DataFrame, keys: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
+    """``filters`` with changes (h1, h2, added boolean) put in or taken out; untouched shards keep their blobs.
+
+    ``keys``: the exact keys after the changes, for shards whose filter is too full to take its new ones.
+    """
+    dealt = changes.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1", "h2", "added")
+    touched = dealt.select("shard").distinct()
+
+    def one(old: pa.Table, new: pa.Table) -> pa.Table:
+        h1, h2, added = (new.column(c).to_numpy() for c in ("h1", "h2", "added"))
+        f = CuckooFilter.from_bytes(old.column("blob")[0].as_py()) if len(old) else CuckooFilter(2)
+        f.delete(h1[~added], h2[~added])
+        blob = f.to_bytes() if f.insert(h1[added], h2[added]) else None
+        return pa.table({"shard": pa.array([new.column("shard")[0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
+
+    held = filters.join(touched, "shard", "left_semi")
+    changed = scratch.table("changed", held.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(one, "shard int, blob binary"))
+    full = changed.where("blob is null").select("shard")
+    anew = build_filters(keys.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).join(F.broadcast(full), "shard", "left_semi"), shards)
+    return filters.join(touched, "shard", "left_anti").union(changed.where("blob is not null")).union(anew)
+
+
 class LineIndex:
     """An immutable index; ``insert`` and ``delete`` return a new one."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, postings: DataFrame, refs: DataFrame, min_chars: int):
+    def __init__(self, spark: SparkSession, scratch: Scratch, postings: DataFrame, refs: DataFrame, min_chars: int, old: "LineIndex | None" = None, changes: DataFrame | None = None):
         self.spark, self.scratch, self.postings, self.refs, self.min_chars = spark, scratch, postings, refs, min_chars
         self.repeated = scratch.table("repeated", refs.where("owner < last"))
-        self.shards = max(16, self.repeated.count() // KEYS_PER_SHARD + 1)
-        self.filters = scratch.table("filters", build_filters(self.repeated, self.shards))
+        count = self.repeated.count()
+        if old and count <= GROWTH * KEYS_PER_SHARD * old.shards:
+            self.shards = old.shards
+            self.filters = scratch.table("filters", update_filters(old.filters, changes, self.repeated, self.shards, scratch))
+        else:
+            self.shards = max(16, count // KEYS_PER_SHARD + 1)
+            self.filters = scratch.table("filters", build_filters(self.repeated, self.shards))
 
     @classmethod
     def build(cls, docs: DataFrame, min_chars: int = 10) -> "LineIndex":
@@ -122,12 +152,22 @@ class LineIndex:
         postings = scratch.table("postings", postings_of(docs, min_chars))
         return cls(spark, scratch, postings, count_refs(postings), min_chars)
 
+    def _with(self, scratch: Scratch, postings: DataFrame, counted: DataFrame) -> "LineIndex":
+        """counted (h1, h2, refs, owner, last): the new counts of the keys that changed; no refs: the key is gone."""
+        key = ["h1", "h2"]
+        was = self.refs.join(counted.select(*key), key, "left_semi").select(*key, (F.col("owner") < F.col("last")).alias("was"))
+        now = counted.select(*key, F.coalesce(F.col("owner") < F.col("last"), F.lit(False)).alias("added"))
+        changes = scratch.table("changes", now.join(was, key, "left").where(F.coalesce("was", F.lit(False)) != F.col("added")).select(*key, "added"))
+        refs = self.refs.join(counted.select(*key), key, "left_anti").unionByName(counted.where("refs > 0"))
+        return LineIndex(self.spark, scratch, postings, scratch.table("refs", refs), self.min_chars, self, changes)
+
     def insert(self, docs: DataFrame) -> "LineIndex":
-        """With more documents: only the new keys are counted, then added to the counts that stand."""
+        """With more documents: the counts of their keys are added to those that stand."""
         scratch = Scratch(self.spark)
         new = scratch.table("new", postings_of(docs, self.min_chars))
-        refs = self.refs.union(count_refs(new)).groupBy("h1", "h2").agg(F.sum("refs").alias("refs"), F.min("owner").alias("owner"), F.max("last").alias("last"))
-        return LineIndex(self.spark, scratch, self.postings.union(new), scratch.table("refs", refs), self.min_chars)
+        more = scratch.table("more", count_refs(new))
+        counted = self.refs.join(more.select("h1", "h2"), ["h1", "h2"], "left_semi").union(more).groupBy("h1", "h2").agg(F.sum("refs").alias("refs"), F.min("owner").alias("owner"), F.max("last").alias("last"))
+        return self._with(scratch, self.postings.union(new), scratch.table("counted", counted))
 
     def delete(self, doc_ids: DataFrame) -> "LineIndex":
         """Without some documents: only keys they held are counted again, so a line goes back to the next holder."""
@@ -135,8 +175,8 @@ class LineIndex:
         ids = doc_ids.select(F.col("doc_id").cast("long")).distinct()
         left = scratch.table("left", self.postings.join(ids, "doc_id", "left_anti"))
         touched = scratch.table("touched", self.postings.join(ids, "doc_id", "left_semi").select("h1", "h2").distinct())
-        refs = self.refs.join(touched, ["h1", "h2"], "left_anti").union(count_refs(left.join(touched, ["h1", "h2"], "left_semi")))
-        return LineIndex(self.spark, scratch, left, scratch.table("refs", refs), self.min_chars)
+        counted = touched.join(count_refs(left.join(touched, ["h1", "h2"], "left_semi")), ["h1", "h2"], "left").select("h1", "h2", F.coalesce("refs", F.lit(0)).alias("refs"), "owner", "last")
+        return self._with(scratch, left, scratch.table("counted", counted))
 
     def drops(self) -> DataFrame:
         """(doc_id, gone): the keys that each document loses."""

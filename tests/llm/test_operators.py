@@ -172,6 +172,26 @@ def test_lines_are_reversible(spark):
     assert texts(index.delete(spark.createDataFrame([(2,)], "doc_id long")), left) == {k: v[0] for k, v in brute_lines(left).items()}
 
 
+def test_line_filters_change_with_their_keys(spark):
+    line = lambda k: f"a line that says {k}"
+    rows = [(i, "\n".join(line(k) for k in range(i, i + 30))) for i in range(60)]
+    blobs = lambda x: {r.shard: bytes(r.blob) for r in x.filters.collect()}
+    index = line_dedup.LineIndex.build(docs_frame(spark, rows))
+    before = blobs(index)
+    more = index.insert(docs_frame(spark, [(500, line("new")), (501, line("new"))]))
+    after = blobs(more)
+    assert more.shards == index.shards and sum(before.get(k) != v for k, v in after.items()) == 1
+    less = more.delete(spark.createDataFrame([(501,)], "doc_id long"))
+    assert {k: v for k, v in blobs(less).items() if any(v)} == before
+    # so many keys that filters are too full, then all gone again
+    grown = less.insert(docs_frame(spark, [(i, "\n".join(line(f"more {k}") for k in range(3000))) for i in (600, 601)]))
+    both = rows + [(500, line("new"))] + [(i, "\n".join(line(f"more {k}") for k in range(3000))) for i in (600, 601)]
+    assert {r.doc_id: r.text for r in grown.apply(docs_frame(spark, both)).collect()} == {k: v[0] for k, v in brute_lines(both).items()}
+    back = grown.delete(spark.createDataFrame([(i,) for i in (500, 600, 601)], "doc_id long"))
+    assert {r.doc_id: r.text for r in back.apply(docs_frame(spark, rows)).collect()} == {k: v[0] for k, v in brute_lines(rows).items()}
+    assert sorted(back.refs.collect()) == sorted(index.refs.collect())
+
+
 def test_cuckoo():
     rng = np.random.default_rng(0)
     h = rng.integers(-(2**63), 2**63 - 1, size=(50_000, 2))
@@ -474,6 +494,22 @@ def test_bpe_matches_library(spark):
     assert bpe.encode_decode(df.limit(0), path).count() == 0
 
 
+def test_bpe_matches_library_on_every_code_point():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), bpe.WordBpe(path)
+    lib.no_padding()
+    lib.no_truncation()
+    # planes 0 and 1, all blocks that Unicode versions of late have filled, and the edges of the others
+    points = [c for c in [*range(0x20000), *range(0x2A6D0, 0x2A710), *range(0x2B730, 0x2B830), *range(0x2CEA0, 0x2CEB8), *range(0x2EBE0, 0x2EE70), *range(0x30000, 0x33500, 7), *range(0x33400, 0x33500), *range(0xE0000, 0xE01F0)] if not 0xD800 <= c <= 0xDFFF]
+    for s in range(0, len(points), 4000):
+        texts = [f"a{chr(c)}b {chr(c)} 1{chr(c)}{chr(c)}É" for c in points[s : s + 4000]]
+        wrong = [hex(c) for c, t, e in zip(points[s : s + 4000], texts, lib.encode_batch(texts, add_special_tokens=False)) if own.encode(t) != e.ids]
+        assert not wrong
+
+
 def test_merges_agree():
     rng = random.Random(7)
     rank = {}
