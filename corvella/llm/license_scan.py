@@ -2,12 +2,15 @@
 
 Templates and texts are word sequences (lower case, letters and digits). Every run of ``GRAM`` words has a hash, and
 each window of ``WINDOW`` successive hashes selects its smallest; so any common run of GRAM + WINDOW - 1 words
-shares a selected fingerprint. The inverted index maps fingerprints to places in templates; hits on near
-diagonals make a candidate, which is aligned within ``BAND`` diagonals around them. Coverage is the share
-of the template's words that match; at least ``COVERAGE`` is reported.
+shares a selected fingerprint. The inverted index maps fingerprints to places in templates. Hits of one template that
+follow each other make a candidate as long as their diagonals are less than half the template apart, so words inserted or
+left out within don't part it; it is aligned in the band of these diagonals and ``BAND`` more on either side, in time
+and memory of the template's length times the band's width. Coverage is the share of the template's words that match; at
+least ``COVERAGE`` is reported.
 
 The templates are a parameter and a fixed small set, so they go to every worker; texts are read once without
-a shuffle. A template inside a longer one that matched the same place is not reported again.
+a shuffle. Of templates that match overlapping places the one with most matched words is reported, of equals the one with
+the higher coverage, then the earlier, then the first by name.
 
 Cases: null or empty texts give no row; a null doc_id is kept as such; templates without words are ignored;
 those shorter than GRAM words are compared by all their words in a row; repeated rows give repeated rows; empty
@@ -46,6 +49,26 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return at[h[at] != _NONE]
 
 
+def _candidates(hits: list[tuple[int, int]], far: int, size: int) -> list[tuple[int, int]]:
+    """The lowest and highest diagonal of each run of hits (diagonal, place in the text), in order of the diagonals.
+
+    Runs are kept open until the text is a template's length behind their last hit, since places of different runs may
+    lie among each other.
+    """
+    open_, out = [], []
+    for d, j in hits:
+        live = [r for r in open_ if j - r[2] <= size + far]
+        out += [r for r in open_ if j - r[2] > size + far]
+        near = [r for r in live if max(r[1], d) - min(r[0], d) <= far]
+        if near:
+            r = min(near, key=lambda r: abs(r[3] - d))
+            r[0], r[1], r[2], r[3] = min(r[0], d), max(r[1], d), j, d
+        else:
+            live.append([d, d, j, d])
+        open_ = live
+    return sorted((r[0], r[1]) for r in out + open_)
+
+
 class Index:
     def __init__(self, templates: dict[str, str]):
         seqs = {k: w for k, t in sorted(templates.items()) if (w := words_of(t))}
@@ -79,17 +102,19 @@ class Index:
         found = []
         for t, places in hits.items():
             template, done = self.ids[t], 0
-            for diagonal, j in sorted(places):
-                if j < done:
+            enough, far = COVERAGE * len(template), len(template) // 2
+            for low, high in _candidates(sorted(places, key=lambda x: (x[1], x[0])), far, len(template)):
+                low, high = low - BAND, high + BAND
+                start, end = max(done, low), high + len(template)  # behind what was found before
+                if np.isin(template, ids[start:end]).sum() < enough:
                     continue
-                low, high = max(done, diagonal - BAND), diagonal + len(template) + BAND  # behind what was found before
-                _, n, _, _, b, e = align(template, ids[low:high], (diagonal - low - BAND, diagonal - low + BAND))
-                if n >= COVERAGE * len(template):
-                    found.append((t, n, low + b, low + e))
-                    done = low + e
+                _, n, _, _, b, e = align(template, ids[start:end], (low - start, high - start))
+                if n >= enough:
+                    found.append((t, n, start + b, start + e))
+                    done = start + e
         # the longest first; a template within a place that a longer one covers says nothing new
         out = []
-        for x in sorted(found, key=lambda x: (-x[1], x[2], x[0])):
+        for x in sorted(found, key=lambda x: (-x[1], -x[1] / len(self.ids[x[0]]), x[2], x[0])):
             if not any(x[2] < e and b < x[3] for _, _, b, e in out):
                 out.append(x)
         return sorted(out, key=lambda x: x[2])
