@@ -5,16 +5,16 @@ word and lexicon features that the sample showed. Learned transitions tie neighb
 forward-backward gives each word's label probabilities, also where a text switches languages. A text's
 language is the one with the largest mean probability over its words with letters; score is that mean.
 
-Training maximises the CRF likelihood on a bounded sample: about ``PER_LANGUAGE`` documents of each language
-among those with crc32(doc_id as text) mod 3 <> 1 and a language, by the smallest hashes, up to
-``MAX_LANGUAGES`` languages by frequency. Spans of different languages are spliced into code-switched
+Training maximises the CRF likelihood on a bounded sample: about ``PER_LANGUAGE`` different documents of each language
+among those with crc32(doc_id as text) mod 3 <> 1, a language and at most ``SAMPLE_CHARS`` code points, by the smallest hashes,
+for each of at most ``MAX_LANGUAGES`` languages by frequency. Spans of different languages are spliced into code-switched
 sequences, so that transitions are learned too. Lang, source and doc_id are no input of a prediction.
 
 Forward-backward is exact on whole texts: words are cut into blocks of ``BLOCK``, every block's transfer matrix
 is made in step with all others, block products give the messages at block borders, and a second pass fills in
 the words between.
 
-Cases: null texts and texts without a letter give ``und`` and score 0; without any language to learn from
+Cases: a language of longer documents only isn't learned; null texts and texts without a letter give ``und`` and score 0; without any language to learn from
 every text does; a held-out row is scored like any other; a null doc_id is not held out; extra columns are
 ignored; repeated rows give repeated rows; empty tables give an empty table.
 """
@@ -27,14 +27,18 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PER_LANGUAGE = 150
-MAX_LANGUAGES = 64
+MAX_LANGUAGES = 256
+SAMPLE_CHARS = 100_000
 #: Different runs a worker holds before it starts anew.
 RUNS = 400_000
 LEXICON = 200
 BLOCK = 32
+#: With more languages than these, transfer matrices cost more than going through the texts in step.
+FEW = 24
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -59,6 +63,8 @@ def _norm(m: np.ndarray, axes) -> np.ndarray:
 def marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Label probabilities of each word. emission: exp scores of all texts' words one after another."""
     k = emission.shape[1]
+    if k > FEW:
+        return _in_step(emission, lengths, trans)
     per = -(-lengths // BLOCK)
     blocks, starts = int(per.sum()), np.r_[0, np.cumsum(lengths)[:-1]]
     if not blocks:
@@ -104,6 +110,27 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> n
     return out[used]
 
 
+def _in_step(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The same, word by word through all texts at once; the longest come first, so that those still going on are a slice."""
+    order = np.argsort(-lengths, kind="stable")
+    size, begin = lengths[order], np.r_[0, np.cumsum(lengths)[:-1]][order]
+    alpha, k = np.empty_like(emission), emission.shape[1]
+    longest = int(size.max(initial=0))
+    live = [int(np.searchsorted(-size, -t, side="left")) for t in range(longest)]  # texts of more than t words
+    a = np.full((len(size), k), 1.0 / k)
+    for t in range(longest):
+        at = begin[: live[t]] + t
+        a[: live[t]] = _norm((a[: live[t]] @ trans) * emission[at], 1)
+        alpha[at] = a[: live[t]]
+    b = np.ones((len(size), k))
+    for t in range(longest - 1, -1, -1):
+        at = begin[: live[t]] + t
+        now = emission[at] * b[: live[t]]
+        alpha[at] = _norm(alpha[at] * b[: live[t]], 1)
+        b[: live[t]] = _norm(now @ trans.T, 1)
+    return alpha
+
+
 class Crf:
     def __init__(self, languages: list[str], index: dict[str, int], weights: np.ndarray, trans: np.ndarray, lexicon: dict[str, tuple[int, ...]]):
         self.languages, self.index, self.weights, self.trans, self.lexicon = languages, index, weights, trans, lexicon
@@ -202,28 +229,31 @@ def fit(rows: list[tuple[str, str]], steps: int = 60, span: int = 12, length: in
     n = x.size
     for step in range(1, steps + 1):
         score = np.add.reduceat(w[flat], cuts[:-1], axis=0)
-        e = score[x]
-        e = np.exp(e - e.max(2, keepdims=True))
-        tr = np.exp(trans)
-        alpha = np.empty_like(e)
-        a = _norm(e[:, 0], 1)
-        alpha[:, 0] = a
-        for t in range(1, length):
-            a = _norm((a @ tr) * e[:, t], 1)
-            alpha[:, t] = a
-        b = np.ones((len(x), k))
-        p, g_trans = np.empty_like(e), np.zeros((k, k))
-        for t in range(length - 1, -1, -1):
-            p[:, t] = _norm(alpha[:, t] * b, 1)
-            if t:
-                back = e[:, t] * b
-                pair = _norm(alpha[:, t - 1, :, None] * tr * back[:, None, :], (1, 2))
-                g_trans -= pair.sum(0)
-                np.add.at(g_trans, (y[:, t - 1], y[:, t]), 1)
-                b = _norm(back @ tr.T, 1)
-        d = -p
-        np.put_along_axis(d, y[:, :, None], np.take_along_axis(d, y[:, :, None], 2) + 1, 2)
-        by_word = np.stack([np.bincount(x.ravel(), d[:, :, i].ravel(), len(feats)) for i in range(k)], 1)
+        tr, g_trans, by_word = np.exp(trans), np.zeros((k, k)), np.zeros((len(feats), k))
+        slice_ = max(50, 16_000 // k)
+        for begin in range(0, len(x), slice_):
+            xs, ys = x[begin : begin + slice_], y[begin : begin + slice_]
+            e = score[xs]
+            e = np.exp(e - e.max(2, keepdims=True))
+            alpha = np.empty_like(e)
+            a = _norm(e[:, 0], 1)
+            alpha[:, 0] = a
+            for t in range(1, length):
+                a = _norm((a @ tr) * e[:, t], 1)
+                alpha[:, t] = a
+            b = np.ones((len(xs), k))
+            d = np.empty_like(e)
+            for t in range(length - 1, -1, -1):
+                d[:, t] = -_norm(alpha[:, t] * b, 1)
+                if t:
+                    back = e[:, t] * b
+                    # the sum over sequences of their pair probabilities
+                    z = ((alpha[:, t - 1] @ tr) * back).sum(1, keepdims=True)
+                    g_trans -= tr * ((alpha[:, t - 1] / np.maximum(z, 1e-300)).T @ back)
+                    np.add.at(g_trans, (ys[:, t - 1], ys[:, t]), 1)
+                    b = _norm(back @ tr.T, 1)
+            np.put_along_axis(d, ys[:, :, None], np.take_along_axis(d, ys[:, :, None], 2) + 1, 2)
+            by_word += np.stack([np.bincount(xs.ravel(), d[:, :, i].ravel(), len(feats)) for i in range(k)], 1)
         g_w = np.stack([np.bincount(flat, by_word[owner, i], len(index)) for i in range(k)], 1)
         for param, g, i in ((w, g_w / n - 1e-6 * w, 0), (trans, g_trans / n, 2)):
             moments[i] = 0.9 * moments[i] + 0.1 * g
@@ -237,18 +267,17 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame) -> Crf | None:
-    known = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    # the share of each language's rows whose hash is small enough; at most four times the expected size
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    wanted = [(F.col("lang") == r["lang"]) & (hashed < int(min(1.0, PER_LANGUAGE / r["count"]) * (1 << 30))) for r in counts]
-    if not wanted:
+    known = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id"))).where(F.length("text") <= SAMPLE_CHARS)
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
         return None
-    some = wanted[0]
-    for x in wanted[1:]:
-        some = some | x
-    rows = known.where(some).select("doc_id", "text", "lang").limit(4 * PER_LANGUAGE * len(counts)).collect()
-    return fit([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text))])
+    # first those whose hash is small enough, some more than are wanted, equal rows once; then of each language the smallest
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 1.5 * PER_LANGUAGE / max(1, r["n"])) * (1 << 30))) for r in counts], "lang string, below long"))
+    some = known.join(share, "lang").where(F.pmod("h", F.lit(1 << 30)) <= F.col("below")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    rows = some.withColumn("nth", nth).where(F.col("nth") <= PER_LANGUAGE).collect()
+    return fit([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.nth))])
 
 
 def predict(docs: DataFrame, model: Crf | None) -> DataFrame:

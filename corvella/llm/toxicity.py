@@ -1,9 +1,9 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Grades are 0 (not toxic), 1 (toxic) and 2 (toxic, with more telling words, by log(1 + count), than the
-median of the toxic sample). One weight vector w is shared by both thresholds t1 < t2:
-P(grade >= k) = sigmoid(w.x - t_k), and the expected severity is P(>= 1) + P(>= 2). A document is rejected
-when its expected severity reaches ``REJECT``.
+Grades are the labels' own: each value of ``toxic`` above 0 that the sample holds is one, in order. Labels of only 0 and 1 say
+nothing of severity; then grade 2 stands for toxic documents with more telling words, by log(1 + count), than the median
+of the toxic sample. One weight vector w is shared by all thresholds t1 < t2 < ...: P(grade >= k) = sigmoid(w.x - t_k), and the
+expected severity is the sum of these. A document is rejected when its expected severity reaches ``REJECT``.
 
 Features are words and word beginnings of 4 and 5 letters (lower case, letters and digits), each with
 log(1 + count). Up to ``FEATURES`` telling ones by chi-square are kept.
@@ -51,13 +51,13 @@ class OrdinalModel:
         self.index, self.weights, self.thresholds = index, weights, thresholds
 
     def scorer(self):
-        """A function of a text that gives (P(>= 1), P(>= 2))."""
+        """A function of a text that gives P(>= k) for each grade k."""
         index, weights, cuts = self.index, self.weights, self.thresholds
         memo = Memo(lambda c: tuple(i for f in features_of(normal(c)) if (i := index.get(f)) is not None))
 
         def score(text: str | None) -> np.ndarray:
             if not len(weights):
-                return np.zeros(2)
+                return np.zeros(len(cuts))
             found = Counter(i for t in map(memo.__getitem__, (text or "").lower().split()) if t for i in t)
             s = sum(weights[i] * np.log1p(c) for i, c in found.items())
             return 1 / (1 + np.exp(-np.clip(s - cuts, -50, 50)))
@@ -104,7 +104,8 @@ def _select(bags: list[np.ndarray], y: np.ndarray, vocab: list[str]) -> np.ndarr
 
 def fit(vocab: list[str], bags: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], steps: int = 400, rate: float = 1.0) -> OrdinalModel:
     """bags: for each document the numbers of its features in the sorted ``vocab``, each once, and their counts."""
-    y = np.array(toxic)
+    label = np.array(toxic)
+    y = (label > 0).astype(int)
     if not len(y) or y.min() == y.max():
         return OrdinalModel({}, np.zeros(0), np.zeros(2))
     p, n = int(y.sum()), int(len(y) - y.sum())
@@ -116,24 +117,32 @@ def fit(vocab: list[str], bags: list[tuple[np.ndarray, np.ndarray]], toxic: list
     for r, (ids, counts) in enumerate(bags):
         at = place[ids]
         x[r, at[at >= 0]] = np.log1p(counts[at >= 0])
-    strength = x.sum(1).round(9)  # so that rounding does not part equal ones at the median
-    grade = np.where(y == 0, 0, np.where(strength > np.median(strength[y == 1]), 2, 1))
-    # gradient descent with momentum on the mean log loss; t2 = t1 + exp(g) keeps the order
+    levels = np.unique(label[y == 1])
+    if len(levels) > 1:
+        grade, top = np.where(y == 1, np.searchsorted(levels, label) + 1, 0), len(levels)
+    else:
+        strength = x.sum(1).round(9)  # so that rounding does not part equal ones at the median
+        grade, top = np.where(y == 0, 0, np.where(strength > np.median(strength[y == 1]), 2, 1)), 2
+    # gradient descent with momentum on the mean log loss; t_k+1 = t_k + exp(g_k) keeps the order
     # weights stay at or above 0, as only telling features were kept
-    w, t1, g, v, l2 = np.ones(len(chosen)), 1.0, 0.0, 0, 1e-4
-    weight = np.where(y == 1, 0.5 / p, 0.5 / n)
+    w, t1, g, v, l2 = np.ones(len(chosen)), 1.0, np.zeros(top - 1), 0, 1e-4
+    weight = np.where(y == 1, 0.5 / p, 0.5 / n)[:, None]
+    own, next_ = grade[:, None] == np.arange(1, top + 1), grade[:, None] == np.arange(top)
     for _ in range(steps):
-        s = x @ w
-        pr = [1 / (1 + np.exp(-np.clip(s - t, -50, 50))) for t in (t1, t1 + np.exp(g))]
-        # log-likelihood of P(>= k) - P(>= k + 1) by grade, in the two cumulative probabilities
-        mid = np.maximum(pr[0] - pr[1], 1e-9)
-        d0 = np.where(grade == 0, -pr[0], np.where(grade == 1, pr[0] * (1 - pr[0]) / mid, 0))
-        d1 = np.where(grade == 2, 1 - pr[1], np.where(grade == 1, -pr[1] * (1 - pr[1]) / mid, 0))
-        d0, d1 = d0 * weight, d1 * weight
-        grad = np.r_[x.T @ (d0 + d1) - l2 * w, -(d0 + d1).sum(), -d1.sum() * np.exp(g)]
+        cuts = t1 + np.r_[0, np.cumsum(np.exp(g))]
+        pr = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - cuts, -50, 50)))
+        # derivatives of the log of P(>= k) - P(>= k + 1), k a document's grade, by the score under each threshold
+        all_ = np.c_[np.ones(len(x)), pr, np.zeros(len(x))]
+        mid = np.maximum(all_[np.arange(len(x)), grade] - all_[np.arange(len(x)), grade + 1], 1e-9)[:, None]
+        slope = pr * (1 - pr) / mid
+        slope[:, -1] = np.where(own[:, -1], 1 - pr[:, -1], slope[:, -1])  # these two have simpler forms
+        down = np.where(next_, slope, 0)
+        down[:, 0] = np.where(next_[:, 0], pr[:, 0], 0)
+        d = (np.where(own, slope, 0) - down) * weight
+        grad = np.r_[x.T @ d.sum(1) - l2 * w, -d.sum(), -np.cumsum(d.sum(0)[::-1])[::-1][1:] * np.exp(g)]
         v = 0.9 * v + grad
-        w, t1, g = np.maximum(0, w + rate * v[:-2]), t1 + rate * v[-2], float(np.clip(g + rate * v[-1], -5, 5))
-    return OrdinalModel(index, w, np.array([t1, t1 + np.exp(g)]))
+        w, t1, g = np.maximum(0, w + rate * v[: len(w)]), t1 + rate * v[len(w)], np.clip(g + rate * v[len(w) + 1 :], -5, 5)
+    return OrdinalModel(index, w, t1 + np.r_[0, np.cumsum(np.exp(g))])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
@@ -144,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").where("text is not null")
     # equal texts once, by their smallest doc_id
     scratch = Scratch(docs.sparkSession)
-    texts = scratch.table("sample", texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.col("toxic") > 0, "doc_id").alias("toxic")))
+    texts = scratch.table("sample", texts.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min_by("toxic", "doc_id").alias("toxic")))
 
     def features(batches):
         of = Memo(lambda c: features_of(normal(c)))
@@ -152,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
             yield pa.RecordBatch.from_arrays([pa.array([f for t in batch.column(0).to_pylist() for f in {f for c in {*t.lower().split()} for f in of[c]}], pa.string())], names=["f"])
 
     # only features that enough toxic texts hold can be chosen, so nothing else comes to the driver
-    often = texts.where("toxic").select("text").mapInArrow(features, "f string").groupBy("f").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEAST_DOCS)
+    often = texts.where("toxic > 0").select("text").mapInArrow(features, "f string").groupBy("f").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEAST_DOCS)
     vocab = sorted(r.f for r in often.select("f").toLocalIterator())
     number = {f: i for i, f in enumerate(vocab)}
 
@@ -166,22 +175,22 @@ def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
                 counts.append(np.array([c for _, c in bag], "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "toxic", "ids", "counts"])
 
-    rows = sorted(texts.select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic boolean, ids binary, counts binary").collect())
+    rows = sorted(texts.select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic int, ids binary, counts binary").collect())
     scratch.drop("sample")
-    return fit(vocab, [(np.frombuffer(r.ids, "<i4"), np.frombuffer(r.counts, "<i4")) for r in rows], [int(r.toxic) for r in rows])
+    return fit(vocab, [(np.frombuffer(r.ids, "<i4"), np.frombuffer(r.counts, "<i4")) for r in rows], [r.toxic for r in rows])
 
 
 def score(docs: DataFrame, model: OrdinalModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, severity (0 to 2), grade, rejected."""
+    """``keep`` columns, severity (0 to the number of grades), grade, rejected."""
     out = T.StructType([*docs.select(*keep).schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("rejected", T.BooleanType())])
     n = len(keep)
 
     def run(batches):
         of = model.scorer()
         for batch in batches:
-            p = np.array([of(t) for t in batch.column(n).to_pylist()]).reshape(-1, 2)
+            p = np.array([of(t) for t in batch.column(n).to_pylist()]).reshape(-1, len(model.thresholds))
             severity = p.sum(1)
-            grade = np.argmax(np.c_[1 - p[:, 0], p[:, 0] - p[:, 1], p[:, 1]], axis=1).astype(np.int32)
+            grade = np.argmax(-np.diff(np.c_[np.ones(len(p)), p, np.zeros(len(p))], axis=1), axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(severity), pa.array(grade), pa.array(severity >= REJECT)], names=out.names)
 
     return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, out)

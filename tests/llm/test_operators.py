@@ -327,22 +327,40 @@ def test_spans_of_short_lines_and_of_text_without_spaces(spark):
 
 # language
 
-def test_marginals_are_exact():
+@pytest.mark.parametrize("k", [3, 30])
+def test_marginals_are_exact(k):
     rng = np.random.default_rng(0)
     sizes = np.array([0, 1, 31, 32, 33, 100, 0])
-    e, t, at = rng.random((sizes.sum(), 3)) + 0.01, rng.random((3, 3)) + 0.1, 0
+    e, t, at = rng.random((sizes.sum(), k)) + 0.01, rng.random((k, k)) + 0.1, 0
     got = langid.marginals(e, sizes, t)
     for n in sizes:
         own = e[at : at + n]
-        a, b = np.full(3, 1 / 3), [np.ones(3)]
-        for k in range(n - 1, 0, -1):
-            b.insert(0, t @ (own[k] * b[0]))
-        for k in range(n):
-            a = (a @ t) * own[k]
-            assert np.allclose(a * b[k] / (a * b[k]).sum(), got[at + k])
+        a, b = np.full(k, 1 / k), [np.ones(k)]
+        for j in range(n - 1, 0, -1):
+            b.insert(0, t @ (own[j] * b[0]))
+        for j in range(n):
+            a = (a @ t) * own[j]
+            assert np.allclose(a * b[j] / (a * b[j]).sum(), got[at + j])
         at += n
 
 
+def test_language_held_out(spark):
+    """The query's accuracy on held-out documents, and its rows against predictions of one text at a time."""
+    rng = random.Random(41)
+    syllables = {f"l{k}": ["".join(rng.choice("abcdefghijklmno") for _ in range(2)) for _ in range(25)] for k in range(30)}
+    word = lambda k: "".join(rng.choice(syllables[k]) for _ in range(rng.randint(1, 3)))
+    rows = [(i, " ".join(word(f"l{i % 30}") for _ in range(rng.randint(10, 60))), f"l{i % 30}") for i in range(1500)] + [(None, "null id", "l0")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    got = table(langid.predict(df, model))
+    held = [i for i, _, _ in rows if i is not None and got[i]["held_out"]]
+    assert len(model.languages) == 30 and sum(got[i]["lang_pred"] == rows[i][2] for i in held) >= 0.95 * len(held) > 300
+    one = model.predictor()
+    for i in range(0, 1500, 100):
+        lang, score = one([rows[i][1]])[0]
+        assert lang == got[i]["lang_pred"] and abs(score - got[i]["score"]) < 1e-9
+
+
 def test_language(spark):
     rng = random.Random(2)
     kinds = {"xx": ["the", "thing", "ther", "and"], "yy": ["une", "été", "deux", "eau"]}
@@ -387,6 +405,41 @@ def test_toxicity(spark):
     assert none.where("rejected").count() == 0 and toxicity.score(df.limit(0), model).count() == 0
 
 
+def toxic_corpus(rng, n, grades):
+    plain = lambda: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(20, 90))]
+    bad = ["vile", "nasty", "foul", "rotten", "wicked", "cursed", "dreadful", "hateful"]
+    rows = []
+    for i in range(n):
+        grade, words = rng.choice([0, 0, *range(1, grades + 1)]), plain()
+        for _ in range(0 if not grade else 2 if grades == 1 else 2 * grade):
+            words.insert(rng.randrange(len(words)), rng.choice(bad) + rng.choice(["", "ly", ","]))
+        rows.append((i, " ".join(words), grade))
+    return rows
+
+
+@pytest.mark.parametrize("grades", [1, 3])
+def test_toxicity_held_out(spark, grades):
+    """Held-out recall and false alarms, severity by grade, and the query's numbers against the model's formula."""
+    rows = toxic_corpus(random.Random(40), 1500, grades)
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    labels = spark.createDataFrame([(i, g) for i, _, g in rows if i < 900], "doc_id long, toxic int")
+    model = toxicity.train(df, labels)
+    got = table(toxicity.score(df, model))
+    bad, clean = ([got[i] for i, _, g in rows if i >= 900 and (g > 0) == t] for t in (True, False))
+    assert sum(r["rejected"] for r in bad) >= 0.9 * len(bad) and sum(r["rejected"] for r in clean) <= 0.02 * len(clean)
+    if grades > 1:
+        mean = [np.mean([got[i]["severity"] for i, _, x in rows if i >= 900 and x == g]) for g in range(grades + 1)]
+        assert len(model.thresholds) == grades and all(b > a + 0.3 for a, b in zip(mean, mean[1:]))
+    for i, t, _ in rows[::50]:
+        s = 0.0
+        for f, k in model.index.items():
+            count = sum(f in toxicity.features_of("".join(c for c in w if c.isalnum())) for w in t.lower().split())
+            s += model.weights[k] * math.log(1 + count)
+        p = [1 / (1 + math.exp(c - s)) for c in model.thresholds]
+        steps = [1, *p, 0]
+        assert abs(sum(p) - got[i]["severity"]) < 1e-9 and got[i]["grade"] == int(np.argmax([a - b for a, b in zip(steps, steps[1:])])) and got[i]["rejected"] == (sum(p) >= toxicity.REJECT)
+
+
 # decontamination
 
 def test_alignment_brute():
