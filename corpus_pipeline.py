@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvella.llm import bpe, decontaminate, line_dedup, minhash, toxicity
-from corvella.llm.common import Scratch
+from corvella.llm.common import Scratch, documents
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,7 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    docs, scratch = documents(spark, sf_dir), Scratch(spark)
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         docs = scratch.table(f"stage{k}", out)

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvella.llm.common import Memo
+from corvella.llm.common import Memo, documents
 
 LONG_WORD = 64
 _FAR = 1 << 60
@@ -233,4 +233,4 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))

@@ -90,6 +90,17 @@ class Scratch:
                 _remove(self.spark, path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt anew where it has fewer splits than there are cores: a Parquet file can't be split within a
+    row group, and the operators' Python work costs far more than moving the few rows of so few splits."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def id_join(big: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Join on one id column; broadcasts ``ids`` only after its row count was checked."""
     small = ids.count() <= BROADCAST_IDS

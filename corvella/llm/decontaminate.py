@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvella.llm.common import documents
 from corvella.llm.wordseq import Numberer, align, grams, words_of
 
 N = 3
@@ -199,4 +200,4 @@ def _block(docs: DataFrame, it: _Items, min_score: float, min_seeds: int, schema
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

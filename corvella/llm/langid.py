@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvella.llm.common import documents
+
 PER_LANGUAGE = 150
 MAX_LANGUAGES = 256
 SAMPLE_CHARS = 100_000
@@ -303,5 +305,5 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return predict(docs.select("doc_id", "text"), train(docs))

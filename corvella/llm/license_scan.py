@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvella.llm.common import documents
 from corvella.llm.license_templates import TEMPLATES
 from corvella.llm.wordseq import Numberer, align, grams, words_of
 
@@ -138,4 +139,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(documents(spark, sf_dir))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvella.llm.common import Scratch
+from corvella.llm.common import Scratch, documents
 from corvella.llm.cuckoo import CuckooFilter
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -219,7 +219,7 @@ def dedupe_lines(docs: DataFrame, min_chars: int = 10, keep: tuple[str, ...] = (
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedupe_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = dedupe_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvella.llm.common import Memo, Scratch, components, groups_of, id_join
+from corvella.llm.common import Memo, Scratch, components, documents, groups_of, id_join
 
 #: Retained values that make the inverted lists.
 K = 48
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, k: int =
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(documents(spark, sf_dir))
 
 
 ORACLE = r"""

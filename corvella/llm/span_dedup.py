@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvella.llm.common import Memo, Scratch
+from corvella.llm.common import Memo, Scratch, documents
 
 LEAST_WORDS = 30
 REACH = 4
@@ -214,7 +214,7 @@ def dedupe_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedupe_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = dedupe_spans(documents(spark, sf_dir))
     return out.select("doc_id", "n_sentences", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 

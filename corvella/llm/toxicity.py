@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvella.llm.common import Memo, Scratch
+from corvella.llm.common import Memo, Scratch, documents
 from corvella.llm.wordseq import normal
 
 TOXIC, CLEAN = 1_200, 2_400
@@ -197,5 +197,5 @@ def score(docs: DataFrame, model: OrdinalModel, keep: tuple[str, ...] = ("doc_id
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
