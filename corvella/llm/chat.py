@@ -14,7 +14,7 @@ Loss mask: ``loss`` lists (start, len) in code points of the formatted string, o
 
 Cases: null role or text is empty; null turns come first; equal (conv_id, turn) rows follow each other by role,
 then text; a null conv_id is a conversation of its own; a parent that is not in the table makes its
-node a root; nodes on a cycle have no root and are left out; extra columns are ignored; an empty table gives
+node a root; of rows that share a tree and a node_id the smallest counts, and a null node_id is left out; nodes on a cycle have no root and are left out; extra columns are ignored; an empty table gives
 an empty table.
 """
 
@@ -47,12 +47,18 @@ def nodes_of_turns(turns: DataFrame) -> DataFrame:
     return rows.withColumn("parent_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1)).withColumn("score", F.lit(0.0))
 
 
+def one_row_each(nodes: DataFrame) -> DataFrame:
+    """Nodes with an id, once each: of rows that share a tree and an id the smallest by parent, role, text and score."""
+    row = F.struct("parent_id", "role", "text", F.col("score").cast("double").alias("score"))
+    return nodes.where("node_id is not null").groupBy("conv_id", "node_id").agg(F.min(row).alias("row")).select("conv_id", "node_id", "row.*")
+
+
 def _same(a: str, b: str) -> Column:
     return F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
 
 
 def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
-    """(conv_id, leaf, branch_rank, node_id, depth) of the ``branches`` best root-to-leaf paths of each tree."""
+    """(conv_id, leaf, branch_rank, node_id, depth) of the ``branches`` best root-to-leaf paths of each tree; ids are unique."""
     shared_root(nodes.sparkSession)
     edges = nodes.select("conv_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
     known = edges.select(F.col("conv_id"), F.col("node_id").alias("jump"))
@@ -79,8 +85,10 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     return paths
 
 
-def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
-    """(conv_id, leaf, branch_rank, n_turns, formatted, loss) for each chosen path."""
+def format_trees(nodes: DataFrame, branches: int = 1, unique: bool = False) -> DataFrame:
+    """(conv_id, leaf, branch_rank, n_turns, formatted, loss) for each chosen path. ``unique``: no two nodes of a tree share an
+    id, as after ``nodes_of_turns``, which saves a shuffle."""
+    nodes = nodes if unique else one_row_each(nodes)
     paths = best_paths(nodes, branches)
     p, n = paths.alias("p"), nodes.select("conv_id", "node_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("n")
     turns = p.join(n, _same("p", "n") & (F.col("p.node_id") == F.col("n.node_id"))).select("p.conv_id", "leaf", "branch_rank", "depth", "role", "text")
@@ -116,7 +124,7 @@ def masked_text(formatted: Column, loss: Column) -> Column:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").union(extra)
-    out = format_trees(nodes_of_turns(turns))
+    out = format_trees(nodes_of_turns(turns), unique=True)
     out = out.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss")).alias("masked"))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"), F.length("masked").cast("long").alias("loss_chars"), F.sha2(F.col("masked"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

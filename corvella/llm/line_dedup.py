@@ -127,7 +127,7 @@ def update_filters(filters: DataFrame, changes: DataFrame, keys: DataFrame, shar
     held = filters.join(touched, "shard", "left_semi")
     changed = scratch.table("changed", held.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(one, "shard int, blob binary"))
     full = changed.where("blob is null").select("shard")
-    anew = build_filters(keys.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).join(F.broadcast(full), "shard", "left_semi"), shards)
+    anew = build_filters(keys.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).join(full, "shard", "left_semi"), shards)
     return filters.join(touched, "shard", "left_anti").union(changed.where("blob is not null")).union(anew)
 
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvella.llm import bpe, chat, decontaminate, embed_join, langid, license_scan, line_dedup, minhash, queries, span_dedup, toxicity
-from corvella.llm.common import components
+from corvella.llm.common import components, documents, spread
 from corvella.llm.cuckoo import CuckooFilter
 from corvella.llm.wordseq import align
 
@@ -95,6 +95,18 @@ def test_chat_trees(spark):
     got = {(r.conv_id, r.branch_rank): r.t for r in chat.format_trees(df, 2).select("conv_id", "branch_rank", chat.read_turns(F.col("formatted")).alias("t")).collect()}
     assert [t.text for t in got[1, 1]] == ["q", "good", "more"] and [t.text for t in got[1, 2]] == ["q", "bad", "x"]
     assert [t.text for t in got[2, 1]] == ["orphan"] and len(got) == 3
+    # repeated rows, rows that share an id, and one without an id
+    again = df.union(df).union(df.where("node_id = 3").withColumn("text", F.lit("later"))).union(df.where("node_id = 1").withColumn("node_id", F.lit(None).cast("long")))
+    more = {(r.conv_id, r.branch_rank): r.t for r in chat.format_trees(again, 2).select("conv_id", "branch_rank", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert more == got
+
+
+def test_spread_deals_few_splits_anew(spark, tmp_path):
+    docs_frame(spark, [(i, str(i)) for i in range(50)]).coalesce(1).write.parquet(f"{tmp_path}/one/documents.parquet")
+    df = documents(spark, f"{tmp_path}/one")
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(r.doc_id for r in df.collect()) == [*range(50)]
+    enough = spark.range(100, numPartitions=spark.sparkContext.defaultParallelism)
+    assert spread(enough) is enough
 
 
 # embeddings
