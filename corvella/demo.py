@@ -122,7 +122,7 @@ def _lists(test):
 def _property_first(s, d):
     first = _orders(s, d).all().sort_by("o_totalprice", True).property("o_custkey").find_first()
     none = _orders(s, d).filter(field("o_custkey").equal_to(-1)).property("o_custkey").find_first()
-    return s.createDataFrame([(first, none)], "first long, none long")
+    return s.createDataFrame([(first, none is None)], "first long, missing boolean")
 
 
 def _first(s, d):
@@ -179,7 +179,7 @@ QUERIES = {
     "list_empty": (_lists(field("words").is_empty()), f"SELECT p_partkey FROM {WORD_LISTS} WHERE len(words) = 0"),
     "list_length_equal": (_lists(field("words").length_equal_to(3)), f"SELECT p_partkey FROM {WORD_LISTS} WHERE len(words) = 3"),
     "id_filter": (_keys("orders", lambda c: c.filter(All((field("o_orderkey").greater_than(500), Not(field("o_orderkey").at_least(600)))))), "SELECT o_orderkey FROM orders WHERE o_orderkey > 500 AND o_orderkey < 600"),
-    "property_first": (_property_first, "SELECT (SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS first, NULL::BIGINT AS none"),
+    "property_first": (_property_first, "SELECT (SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS first, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = -1) AS missing"),
     "find_first": (_first, "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice, o_orderkey LIMIT 1"),
     "enum_names": (_enum_names, "SELECT CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'partial' END AS o_orderstatus FROM orders"),
     "update_first": (_update_first, "SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderstatus <> 'F', o_totalprice DESC, o_orderkey) = 1 THEN 'first' ELSE o_orderpriority END AS o_orderpriority FROM orders"),
